@@ -1,19 +1,21 @@
-"""Numeric expressions: count parsing, half-even rounding, guarded ratios."""
+"""Numeric expressions: count parsing, half-even rounding, guarded ratios.
 
-from __future__ import annotations
+Functions ending in ``_sql`` give SQL text. Wide projections are written as text because
+the parser builds a whole expression in one call.
+"""
 
-from functools import reduce
-from operator import add
+from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
-from tallyforge.functions.text import trim_unicode
+from tallyforge.functions.text import trim_unicode_sql
 
 # Spellings that stand for "no count".
 EMPTY_COUNTS = ["", "-", "--", "nan", "None"]
 
-_DIGITS = r"\d(?:_?\d)*"
-_NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+_DIGITS = r"[0-9](?:_?[0-9])*"
+_NUMBER = rf"^[+-]?(?:{_DIGITS}(?:[.](?:{_DIGITS})?)?|[.]{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 
 
 def round_half_even(value: Column, digits: int = 0) -> Column:
@@ -21,31 +23,55 @@ def round_half_even(value: Column, digits: int = 0) -> Column:
     return F.rint(value * scale) / scale + F.lit(0.0)
 
 
-def row_total(columns: list[str]) -> Column:
-    return reduce(add, [F.col(name) for name in columns])
+def round_sql(value: str, digits: int = 0) -> str:
+    return f"rint(({value}) * {10**digits}D) / {10**digits}D + 0D"
+
+
+def number_sql(value: float | None) -> str:
+    """Literal that keeps every digit of a double."""
+    return f"double('{value!r}')" if value is not None else "cast(null as double)"
+
 
+def total_sql(columns: list[str]) -> str:
+    return " + ".join(columns)
 
-def guarded_ratio(numerator: Column, denominator: Column, digits: int = 4) -> Column:
-    ratio = round_half_even(numerator / F.nullif(denominator, F.lit(0)), digits)
-    return F.when(denominator > 0, ratio).otherwise(F.lit(0.0))
 
+def ratio_sql(numerator: str, denominator: str, digits: int = 4) -> str:
+    """Ratio, 0 where the denominator is not positive."""
+    return f"if({denominator} > 0, {round_sql(f'{numerator} / nullif({denominator}, 0)', digits)}, 0D)"
 
-def parse_count(value: Column) -> Column:
+
+def parse_count_sql(value: str) -> str:
     """Whole non-negative count written as text; null marks an invalid spelling.
 
     The shape test comes before the cast because the JVM accepts spellings such as
     ``1d`` or ``NaN`` that are no counts.
     """
-    text = F.translate(trim_unicode(value), "\u00a0 ", "")
-    dotted = F.translate(text, ",", ".")
-    number = F.when(dotted.rlike(_NUMBER), F.translate(dotted, "_", "").try_cast("double"))
-    in_range = (number >= 0) & (number < F.lit(float(2**63)))
+    text = f"translate({trim_unicode_sql(value)}, '\u00a0 ', '')"
+    dotted = f"translate({text}, ',', '.')"
+    number = f"try_cast(translate({dotted}, '_', '') as double)"
+    empty = ", ".join(f"'{spelling}'" for spelling in EMPTY_COUNTS)
     return (
-        F.when(value.isNull() | text.isin(EMPTY_COUNTS), F.lit(0).cast("long"))
-        .when(in_range, F.rint(number).cast("long"))
+        f"case when {value} is null or {text} in ({empty}) then 0L "
+        f"when {dotted} rlike '{_NUMBER}' and {number} >= 0 and {number} < 9223372036854775807D "
+        f"then cast(rint({number}) as bigint) end"
     )
 
 
-def parse_count_strict(value: Column) -> Column:
-    message = F.concat(F.lit("invalid count: "), F.coalesce(value.cast("string"), F.lit("null")))
-    return F.coalesce(parse_count(value), F.raise_error(message).cast("long"))
+def parse_count(value: str) -> Column:
+    return F.expr(parse_count_sql(value))
+
+
+def whole_count_sql(value: str) -> str:
+    """Count of a whole-number column, where only a negative value is invalid."""
+    return f"if(coalesce({value}, 0) >= 0, cast(coalesce({value}, 0) as bigint), null)"
+
+
+def count_sql(df: DataFrame, name: str, strict: bool = True) -> str:
+    """Count of a measure column of any type; text is parsed, whole numbers are checked."""
+    whole = isinstance(df.schema[name].dataType, IntegralType)
+    count = whole_count_sql(name) if whole else parse_count_sql(name)
+    if not strict:
+        return count
+    message = f"concat('invalid count in {name}: ', cast({name} as string))"
+    return f"coalesce({count}, cast(raise_error({message}) as bigint))"

@@ -18,6 +18,11 @@ def trim_unicode(value: Column) -> Column:
     return F.btrim(value.cast("string"), F.lit(WHITESPACE))
 
 
+def trim_unicode_sql(value: str) -> str:
+    codes = "".join(f"\\u{ord(char):04x}" for char in WHITESPACE)
+    return f"btrim(cast({value} as string), '{codes}')"
+
+
 @lru_cache(maxsize=1)
 def _folding() -> tuple[str, str, dict[str, str]]:
     """Compatibility folding of every non-ASCII character, grouped by result.
@@ -55,17 +60,24 @@ def normalize_label(value: Column) -> Column:
     """Lower-case ASCII form of a label: accents dropped, other signs to one blank."""
     source, target, expanding = _folding()
     text = F.lower(value.cast("string"))
-    lookup = F.create_map(*[F.lit(part) for pair in expanding.items() for part in pair])
+    # One constant-folded literal; the lookup is reached only by texts that need it.
+    pairs = "\x1e".join(char + "\x1f" + folded for char, folded in expanding.items())
+    lookup = F.str_to_map(F.lit(pairs), F.lit("\x1e"), F.lit("\x1f"))
     expanded = F.array_join(
-        F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(lookup, c), c)), ""
+        F.transform(
+            F.split(text, ""),
+            lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(F.try_element_at(lookup, c), c)),
+        ),
+        "",
     )
-    text = F.when(text.rlike("[" + "".join(expanding) + "]"), expanded).otherwise(text)
+    # Hash look-ups per character; a pattern of that many alternatives is far slower.
+    plain = F.translate(text, "".join(expanding), "") == text
+    text = F.when(plain, text).otherwise(expanded)
     text = F.translate(text, source, target)
     text = F.trim(F.regexp_replace(text, "[^a-z0-9'/-]+", " "))
     return F.coalesce(F.nullif(text, F.lit("")), F.lit(UNKNOWN_TEXT))
 
 
-def truthy(value: Column) -> Column:
+def truthy_sql(value: str) -> str:
     """Lenient boolean: ``true``, ``1`` or ``yes`` in any case, blanks around ignored."""
-    text = F.lower(trim_unicode(value))
-    return F.coalesce(text.isin("true", "1", "yes"), F.lit(False))
+    return f"coalesce(lower({trim_unicode_sql(value)}) in ('true', '1', 'yes'), false)"

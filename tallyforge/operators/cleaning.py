@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyforge import schema as S
-from tallyforge.functions.numbers import (
-    guarded_ratio,
-    parse_count,
-    parse_count_strict,
-    round_half_even,
-    row_total,
-)
+from tallyforge.functions.numbers import count_sql, ratio_sql, round_sql, total_sql
 from tallyforge.functions.text import normalize_label, trim_unicode
 from tallyforge.operators.contracts import require_columns
 from tallyforge.sources.delimited import ROW_INDEX
@@ -39,21 +33,20 @@ def resolve_normalised(label: Column, provided: Column | None) -> Column:
     return normalize_label(F.when(given == "", label).otherwise(given))
 
 
-def stable_id(period: Column, category: Column, normalised: Column, ordinal: Column) -> Column:
-    key = F.concat_ws("|", period, category, normalised, ordinal.cast("string"))
-    return F.concat(F.lit("INF-"), F.upper(F.substring(F.sha1(key), 1, 12)))
+STABLE_ID = (
+    f"concat('INF-', upper(substring(sha1(concat_ws('|', {S.PERIOD}, {S.CATEGORY}, "
+    f"{S.NORMALISED}, cast(_ordinal as string))), 1, 12)))"
+)
 
 
-def period_factor(period: Column, factors: dict[str, float]) -> Column:
-    value = F.lit(1.0)
-    for name, factor in factors.items():
-        value = F.when(period == name, F.lit(factor)).otherwise(value)
-    return value
+def factor_sql(factors: dict[str, float]) -> str:
+    """Annualisation factor of the period; unlisted periods count once."""
+    cases = " ".join(f"when '{name}' then {factor}D" for name, factor in factors.items())
+    return f"case {S.PERIOD} {cases} else 1D end" if cases else "1D"
 
 
 def _prepared(df: DataFrame, ordinal: str, strict: bool) -> DataFrame:
     require_columns(df, [*S.REQUIRED, ordinal])
-    parse = parse_count_strict if strict else parse_count
     provided = F.col(S.NORMALISED) if S.NORMALISED in df.columns else None
     if S.OBSERVATIONS in df.columns:
         observations = F.coalesce(F.col(S.OBSERVATIONS).cast("string"), F.lit(""))
@@ -61,41 +54,37 @@ def _prepared(df: DataFrame, ordinal: str, strict: bool) -> DataFrame:
         observations = F.lit("")
     label = or_default_text(F.col(S.LABEL), S.UNKNOWN_LABEL)
     rows = df.where(~is_total_row(label))
-    invalid = F.array_compact(
-        F.array(*[F.when(parse_count(F.col(c)).isNull(), F.lit(c)) for c in S.MEASURES])
+    invalid = ", ".join(
+        f"if({count_sql(df, c, strict=False)} is null, '{c}', null)" for c in S.MEASURES
     )
     return rows.select(
         or_default_text(F.col(S.PERIOD), S.UNKNOWN_PERIOD).alias(S.PERIOD),
         or_default_text(F.col(S.CATEGORY), S.UNKNOWN_CATEGORY).alias(S.CATEGORY),
         label.alias(S.LABEL),
         resolve_normalised(label, provided).alias(S.NORMALISED),
-        *[parse(F.col(c)).alias(c) for c in S.MEASURES],
+        *[F.expr(f"{count_sql(df, c, strict)} as {c}") for c in S.MEASURES],
         label_is_missing(F.col(S.LABEL)).alias(S.MISSING_LABEL),
         observations.alias(S.OBSERVATIONS),
         F.col(ordinal).alias("_ordinal"),
-        *([] if strict else [invalid.alias(INVALID)]),
+        *([] if strict else [F.expr(f"array_compact(array({invalid})) as {INVALID}")]),
     )
 
 
 def _derived(rows: DataFrame, factors: dict[str, float]) -> DataFrame:
-    totals = rows.withColumns(
-        {
-            "Total_saisines": row_total(S.INTAKE),
-            "Total_victimes": row_total(S.VICTIMS),
-            "Total_resultats": row_total(S.OUTCOMES),
-            "Facteur_annualisation": period_factor(F.col(S.PERIOD), factors),
-        }
+    totals = rows.selectExpr(
+        "*",
+        f"{total_sql(S.INTAKE)} as Total_saisines",
+        f"{total_sql(S.VICTIMS)} as Total_victimes",
+        f"{total_sql(S.OUTCOMES)} as Total_resultats",
+        f"{factor_sql(factors)} as Facteur_annualisation",
     )
-    annualised = F.col("Saisine_Plaintes_directes") * F.col("Facteur_annualisation")
-    return totals.withColumns(
-        {
-            "Volume_activite": row_total(["Total_saisines", "Total_victimes", *S.IMPLICATED]),
-            "Taux_DEF_sur_saisines": guarded_ratio(F.col(S.TARGET), F.col("Total_saisines")),
-            S.ANNUALISED: round_half_even(annualised).cast("long"),
-            S.RECORD_ID: stable_id(
-                F.col(S.PERIOD), F.col(S.CATEGORY), F.col(S.NORMALISED), F.col("_ordinal")
-            ),
-        }
+    complaints = "Saisine_Plaintes_directes * Facteur_annualisation"
+    return totals.selectExpr(
+        "*",
+        f"{total_sql(['Total_saisines', 'Total_victimes', *S.IMPLICATED])} as Volume_activite",
+        f"{ratio_sql(S.TARGET, 'Total_saisines')} as Taux_DEF_sur_saisines",
+        f"cast({round_sql(complaints)} as bigint) as {S.ANNUALISED}",
+        f"{STABLE_ID} as {S.RECORD_ID}",
     )
 
 

@@ -30,10 +30,15 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
         df.write.mode("overwrite").parquet(path)
 
 
-def load_serving_table(df: DataFrame, table: str, force: bool = False) -> int:
-    """Fill a catalog table; a filled one stays untouched unless forced. Returns its size."""
+def load_serving_table(
+    df: DataFrame, table: str, force: bool = False, path: str | None = None
+) -> int:
+    """Fill a catalog table; a filled one stays untouched unless forced. Returns its size.
+
+    ``path`` places the files outside the warehouse folder.
+    """
     spark = df.sparkSession
     filled = spark.catalog.tableExists(table) and not spark.table(table).isEmpty()
     if force or not filled:
-        df.write.mode("overwrite").saveAsTable(table)
+        df.write.mode("overwrite").saveAsTable(table, path=path)
     return spark.table(table).count()
