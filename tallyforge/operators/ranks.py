@@ -14,6 +14,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyforge.functions.numbers import round_half_even, round_sql
+from tallyforge.operators.quantiles import Extent, extents
 from tallyforge.operators.reshape import long_rows
 from tallyforge.runtime import materialize
 from tallyforge.schema import PROFILE_MEASURES
@@ -22,6 +23,7 @@ BROADCAST_VALUES = 100_000
 HOT_VALUES = 1_000
 SALTS = 1_024
 MAX_BUCKETS = 4_096
+ARRAY_RANGE = 4_096
 
 
 def _value_ranks(counts: DataFrame, sizes: dict[str, int]) -> DataFrame:
@@ -56,7 +58,12 @@ def _value_ranks(counts: DataFrame, sizes: dict[str, int]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace each column by its average rank. ``df`` should be a stored table."""
+    """Replace each column by its average rank. ``df`` should be a stored table.
+
+    Whole numbers in a small range look their rank up by position in a literal array,
+    columns with few distinct values by broadcast join, all others by shuffle join.
+    """
+    known = extents(df, columns)
     df = df.selectExpr(*[f"cast({c} as double) as {c}" for c in columns]).dropna()
     counts = materialize(
         long_rows(df, [], [{"variable": f"'{c}'", "value": c} for c in columns])
@@ -69,16 +76,36 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
         for row in counts.groupBy("variable").agg(F.count("*").alias("n")).collect()
     }
     ranks = materialize(_value_ranks(counts, sizes), "value_ranks")
+    by_position = [
+        c for c in columns if known[c].count and known[c].whole and known[c].high - known[c].low <= ARRAY_RANGE
+    ]
+    lookups = _position_lookups(ranks, by_position, known)
     total = df.count()
     for c in columns:
         found = ranks.where(F.col("variable") == c).select(
             F.col("value").alias(c), F.col("rank").alias(f"rank_{c}"), "n"
         )
+        if c in lookups:
+            continue
         if sizes.get(c, 0) <= BROADCAST_VALUES:
-            df = df.join(F.broadcast(found.drop("n")), c)
+            df = df.join(F.broadcast(found.drop("n")), c, "left")
         else:
             df = _join_many_values(df, found, c, total)
-    return df.select(*[F.col(f"rank_{c}").alias(c) for c in columns])
+    return df.selectExpr(*[f"{lookups.get(c, f'rank_{c}')} as {c}" for c in columns])
+
+
+def _position_lookups(
+    ranks: DataFrame, columns: list[str], known: dict[str, Extent]
+) -> dict[str, str]:
+    """SQL text per column that reads the rank of ``value - low`` from an array."""
+    arrays = {c: ["0"] * (known[c].high - known[c].low + 1) for c in columns}
+    for row in ranks.where(F.col("variable").isin(columns)).collect():
+        arrays[row.variable][int(row.value) - known[row.variable].low] = str(row.rank)
+    return {
+        c: f"get(cast(split('{','.join(values)}', ',') as array<double>), "
+        f"cast({c} - {known[c].low} as int))"
+        for c, values in arrays.items()
+    }
 
 
 def _join_many_values(df: DataFrame, found: DataFrame, c: str, total: int) -> DataFrame:
