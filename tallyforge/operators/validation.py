@@ -88,8 +88,12 @@ def prediction_table(predictions: DataFrame, keys: Iterable[str] = KEYS) -> Data
     )
 
 
-def leaderboard(results: DataFrame) -> DataFrame:
-    return results.orderBy("validation_kfold.rmse", "modele")
+def leaderboard(results: DataFrame, rmse: str = "validation_kfold.rmse") -> DataFrame:
+    return results.orderBy(rmse, "modele")
+
+
+def best_model_name(results: DataFrame, rmse: str = "validation_kfold.rmse") -> str:
+    return results.agg(F.min_by("modele", F.struct(rmse, "modele"))).first()[0]
 
 
 @dataclass
@@ -137,7 +141,7 @@ def evaluate_models(df: DataFrame, models: dict[str, Fitter], splits: int = 5, s
         "validation_kfold.r2 as r2_cv",
         "validation_kfold.r2_ecart_type as r2_cv_ecart_type",
     )
-    best = leaderboard(results).first().modele
+    best = best_model_name(results)
     return Comparison(results, best, fitted[best], prediction_table(held_out[best]))
 
 

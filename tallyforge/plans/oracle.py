@@ -458,4 +458,72 @@ def build() -> dict[str, str]:
     flags = '"Record_ID", "Score_anomalie", "Anomalie_ML", "Anomalie_regle", "Est_anomalie"'
     sqls["r7_flags_from_scores"] = f"with {FLAGGED} select {flags} from flagged"
     sqls["r8_severity_levels"] = f"""with {FLAGGED} select "Record_ID", "Niveau_anomalie" from levelled"""
+
+    def z_of(c: str) -> str:
+        v = f'ln(1.0::double + "{c}"::double)'
+        return f"""({v} - avg({v}) over ()) / coalesce(nullif(stddev_pop({v}) over (), 0), 1)"""
+
+    zs = ", ".join(f'{z_of(c)} as z{i}' for i, c in enumerate(S.CLUSTER_FEATURES))
+    sqls["c1_standardised_counts"] = f"""with {FINE_CLEAN} select "Record_ID", {', '.join(rnd(z_of(c), 6) + f' as "{c}"' for c in S.CLUSTER_FEATURES)} from clean"""
+    square = " + ".join(f"(p.z{i} - o.z{i}) * (p.z{i} - o.z{i})" for i in range(6))
+    points = f"""points as (select row_number() over (order by "Record_ID") as id, "Total_saisines" % 3 as label, {zs} from clean),
+      sizes as (select label, count(*) as n from points group by label)"""
+    sqls["c3_euclidean_silhouette"] = f"""with {COARSE_CLEAN}, {points},
+      dist as (select p.id, p.label, o.label as other, sum(sqrt({square})) as d from points p, points o group by 1, 2, 3),
+      sides as (select id, max(case when dist.label = other then d / greatest(n - 1, 1) end) as a,
+                  min(case when dist.label <> other then d / n end) as b,
+                  max(case when dist.label = other then n end) as own from dist join sizes on sizes.label = other group by id)
+      select {rnd('avg(case when own = 1 or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end)', 6)} as silhouette from sides"""
+    norm = " + ".join(f"p.z{i} * p.z{i}" for i in range(6))
+    dot = " + ".join(f"p.z{i} * s{i}" for i in range(6))
+    sums6 = ", ".join(f"sum(z{i}) as s{i}" for i in range(6))
+    sqls["c3_squared_silhouette"] = f"""with {FINE_CLEAN}, {points},
+      groups as (select label, count(*) as n, {sums6}, sum({norm.replace('p.', '')}) as q from points group by label),
+      dist as (select p.id, p.label, g.label as other, g.n, ({norm}) + g.q / g.n - 2 * ({dot}) / g.n as d from points p, groups g),
+      sides as (select id, max(case when label = other then d * n / greatest(n - 1, 1) end) as a,
+                  min(case when label <> other then d end) as b, max(case when label = other then n end) as own from dist group by id)
+      select {rnd('avg(case when own = 1 or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end)', 6)} as silhouette from sides"""
+    sqls["c5_choose_k"] = f"""with {FINE_CLEAN}, byp as (select substr("Annee", 1, 4)::int - 1993 as k, {rnd('avg("Taux_DEF_sur_saisines")', 6)} as sil,
+        count(*)::double / (select count(*) from clean) / 2 as ratio from clean group by "Annee")
+      select k::bigint as k from byp order by (ratio >= 0.05) desc, sil desc, k limit 1"""
+
+    gap = lambda c: f'case when ordinal % 5 = 0 then null else "{c}" end'
+    gaps = ", ".join(f'{gap(c)} as "{c}"' for c in S.NUMERIC_FEATURES)
+    gapped = f"""{FINE}, gapped as (select ordinal, "Annee", case when ordinal % 4 = 0 then null else "Categorie" end as "Categorie", {gaps} from cells)"""
+    filled = lambda c: f"""coalesce("{c}"::double, (select quantile_cont("{c}"::double, 0.5) from gapped))"""
+    sqls["m1_median_imputation"] = f"""with {gapped} select ordinal, "Annee", {', '.join(f'{filled(c)} as "{c}"' for c in S.NUMERIC_FEATURES)} from gapped"""
+    sqls["m2_mode_imputation"] = f"""with {gapped}, mode as (select "Categorie" as m from gapped where "Categorie" is not null
+        group by 1 order by count(*) desc, 1 limit 1) select ordinal, "Annee", coalesce("Categorie", (select m from mode)) as "Categorie" from gapped"""
+    sqls["m3_one_hot"] = f"""with {FINE_CLEAN} select "Record_ID", {', '.join(f"""("Annee" = '{p}')::int::double as p{p[:4]}""" for p in ['1996', '1997', '1998', '1999', '2000', '2001-S1'])} from clean"""
+    sqls["m4_preprocessor"] = f"""with {gapped}, filled as (select ordinal, "Annee", {', '.join(f'{filled(c)} as "{c}"' for c in S.NUMERIC_FEATURES)} from gapped)
+      select ordinal, "Annee", {', '.join(rnd(f'("{c}" - avg("{c}") over ()) / coalesce(nullif(stddev_pop("{c}") over (), 0), 1)', 6) + f' as "{c}"' for c in S.NUMERIC_FEATURES)} from filled"""
+    place = """('0x' || substr(md5("Record_ID" || '|42'), 1, 15))::bigint"""
+    folds = f"""folded as (select *, ntile(5) over (order by {place}) - 1 as fold from clean)"""
+    fold_medians = """medians as (select f.fold, (select quantile_cont("Resultats_DEF"::double, 0.5) from folded t where t.fold <> f.fold) as m
+        from (select distinct fold from folded) f)"""
+    sqls["m5_median_baseline"] = f"""with {FINE_CLEAN}, {folds}, {fold_medians} select "Record_ID", fold, m as prediction from folded join medians using (fold)"""
+    sqls["m9_shuffled_folds"] = f"""with {FINE_CLEAN}, {folds} select "Record_ID", fold from folded"""
+    sqls["m10_period_folds"] = f"""with {FINE_CLEAN} select "Record_ID", dense_rank() over (order by "Annee") - 1 as fold from clean"""
+    err = f'("Resultats_DEF" - {predicted})'
+    sqls["m11_cv_summary"] = f"""with {FINE_CLEAN}, {folds}, scores as (select fold, avg(abs{err}) as mae, avg({err} * {err}) as mse,
+        1 - avg({err} * {err}) / var_pop("Resultats_DEF") as r2 from folded group by fold)
+      select {rnd('avg(mae)', 4)} as mae, {rnd('sqrt(avg(mse))', 4)} as rmse, {rnd('avg(r2)', 4)} as r2, {rnd('stddev_pop(r2)', 4)} as r2_ecart_type from scores"""
+    clip = f'("Resultats_DEF" - greatest({predicted}, 0.0::double))'
+    sqls["m12_training_diagnostics"] = f"""with {FINE_CLEAN} select {rnd(f'avg(abs{clip})', 4)} as mae_entrainement,
+      {rnd(f'sqrt(avg({clip} * {clip}))', 4)} as rmse_entrainement, {rnd(f'1 - avg({clip} * {clip}) / var_pop("Resultats_DEF")', 4)} as r2_entrainement from clean"""
+    sqls["m15_prediction_table"] = f"""with {FINE_CLEAN}, {folds}, {fold_medians} select "Record_ID", "Annee", "Categorie", "Infraction_Affaire_traitee",
+      "Resultats_DEF"::double as "Valeur_reelle", {rnd('m', 2)} as "Prediction_CV", {rnd('abs("Resultats_DEF" - m)', 2)} as "Erreur_absolue",
+      {rnd('"Resultats_DEF" - m', 2)} as "Residu" from folded join medians using (fold)"""
+    sqls["s5_model_round_trip"] = f"""with {FINE_CLEAN} select "Record_ID", (select quantile_cont("Resultats_DEF"::double, 0.5) from clean) as prediction from clean"""
+    sqls["x2_prepare_and_load"] = f"with {COARSE} select count(*) as lignes from cells"
+    sqls["x3_stage_precondition"] = f"with {COARSE} select count(*) as lignes, 'refusee' as etape_suivante from cells"
+    listed = f"with {FINE_SERVING}, {OFFICIAL}, detail as (select \"Annee\", {SUMS} from clean group by 1), recon as ({_PAIRS}), "
+    sqls["x4_dashboard_feeds"] = listed + """listed as (select * from serving order by saisine_plaintes_directes desc, record_id limit 1000)
+      select 'annees' as vue, count(distinct annee) as lignes from serving union all select 'categories', count(distinct categorie) from serving
+      union all select 'resume', 1 union all select 'principales_infractions', least(15, count(distinct infraction)) from serving
+      union all select 'comparaison_periodes', count(distinct annee) from serving union all select 'donnees_filtrees', count(*) from listed
+      union all select 'nuage_clusters', count(*) from listed where cluster is not null and pca_1 is not null and pca_2 is not null
+      union all select 'profil_clusters', count(distinct cluster) from serving
+      union all select 'anomalies', least(500, count(*)) from serving where est_anomalie
+      union all select 'ecarts', count(*) from recon where "Total_detail" <> "Total_officiel" """
     return sqls

@@ -7,27 +7,43 @@ input several times store the derived cells once in the shared folder first.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyforge import schema as S
 from tallyforge.functions.numbers import number_sql, parse_count, round_half_even, round_sql
 from tallyforge.functions.text import normalize_label, truthy_sql
 from tallyforge.operators import anomaly_rules as rules
-from tallyforge.operators import profile, quality, reconcile as rec, serving as serve
-from tallyforge.operators.cleaning import clean, is_total_row, label_is_missing, or_default_text, resolve_normalised
+from tallyforge.operators import clustering, isolation, profile, quality, regressors, validation
+from tallyforge.operators import reconcile as rec, serving as serve
+from tallyforge.operators.cleaning import (
+    clean,
+    is_total_row,
+    label_is_missing,
+    or_default_text,
+    resolve_normalised,
+)
 from tallyforge.operators.contracts import with_scoring_defaults
 from tallyforge.operators.documents import flatten_results
 from tallyforge.operators.ranks import correlation_table, spearman, strongest_pairs
+from tallyforge.operators.regressors import PREDICTION
 from tallyforge.operators.reshape import long_rows
+from tallyforge.operators.scoring import score
+from tallyforge.plans import dashboard, stages
 from tallyforge.runtime import materialize, scratch_path
 from tallyforge.sources import cells
 from tallyforge.sources.delimited import ROW_INDEX, read_delimited, write_csv
 from tallyforge.sources.documents import read_document, write_document
-from tallyforge.sources.tables import load_serving_table, read_prepared, write_table
+from tallyforge.sources.models import load_model, save_model
+from tallyforge.sources.tables import StageMissing, load_serving_table, read_prepared, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# Model sizes of the registered queries; the functions' defaults are larger.
+MODEL_TREES = 100
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -634,3 +650,381 @@ def r7_flags_from_scores(spark, sf_dir):
 def r8_severity_levels(spark, sf_dir):
     flagged = flagged_cells(spark, sf_dir)
     return rules.with_severity(flagged, rules.severity_cuts(flagged)).select(S.RECORD_ID, rules.LEVEL)
+
+
+# ---------------------------------------------------------------- isolation forest
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = stored_fine(spark, sf_dir, S.RECORD_ID, *S.ANOMALY_FEATURES)
+    forest = isolation.fit_forest(stored, trees=MODEL_TREES)
+    score = isolation.isolation_score(spark, forest)
+    return materialize(stored.select(S.RECORD_ID, score.alias(isolation.ISOLATION)), "scored")
+
+
+def _detected(spark: SparkSession, sf_dir: str):
+    stored = stored_fine(
+        spark, sf_dir, S.RECORD_ID, *S.ANOMALY_FEATURES, S.MISSING_LABEL, "Volume_activite"
+    )
+    return isolation.detect_anomalies(stored, trees=MODEL_TREES)
+
+
+@query
+def r6_isolation_forest(spark, sf_dir):
+    flagged, _, _ = _detected(spark, sf_dir)
+    return flagged.select(S.RECORD_ID, rules.SCORE, rules.ML_FLAG, rules.FLAG, rules.LEVEL, rules.REASONS)
+
+
+@query
+def r9_contamination_sweep(spark, sf_dir):
+    return isolation.contamination_sweep(_scored(spark, sf_dir))
+
+
+@query
+def r10_anomaly_metrics(spark, sf_dir):
+    _, metrics, _ = _detected(spark, sf_dir)
+    return metrics.select(F.to_json(F.struct("*")).alias("document"))
+
+
+# ---------------------------------------------------------------- clustering
+
+
+def _scaled(rows: DataFrame) -> DataFrame:
+    points = clustering.fit_scaler(rows, log=True).transform(rows)
+    return clustering.assembler(S.CLUSTER_FEATURES).transform(points)
+
+
+def _cluster_vectors(spark: SparkSession, sf_dir: str, log: bool) -> DataFrame:
+    stored = stored_fine(spark, sf_dir, *S.CLUSTER_FEATURES)
+    return clustering.scaled_vectors(stored, S.CLUSTER_FEATURES, log)[0]
+
+
+@query
+def a7_cluster_profile(spark, sf_dir):
+    enriched = standin_enriched(fine_clean(spark, sf_dir))
+    return clustering.cluster_profile(enriched.where(F.col(clustering.CLUSTER).isNotNull()))
+
+
+@query
+def c1_standardised_counts(spark, sf_dir):
+    stored = stored_fine(spark, sf_dir, S.RECORD_ID, *S.CLUSTER_FEATURES)
+    names = zip(clustering.scaled_names(S.CLUSTER_FEATURES), S.CLUSTER_FEATURES)
+    return _scaled(stored).selectExpr(S.RECORD_ID, *[f"{round_sql(z, 6)} as {c}" for z, c in names])
+
+
+@query
+def c2_kmeans(spark, sf_dir):
+    stored = stored_fine(spark, sf_dir, S.RECORD_ID, *S.CLUSTER_FEATURES)
+    points = _scaled(stored)
+    model = clustering.fit_kmeans(points, k=3, restarts=2)
+    labels = clustering.relabel_sql(clustering.canonical_labels(model))
+    return model.transform(points).selectExpr(S.RECORD_ID, f"{labels} as {clustering.CLUSTER}")
+
+
+@query
+def c3_euclidean_silhouette(spark, sf_dir):
+    stored = materialize(coarse_clean(spark, sf_dir).select(*S.CLUSTER_FEATURES), "coarse_cells")
+    points = _scaled(stored).withColumn("label", F.col("Total_saisines") % 3)
+    width = clustering.euclidean_silhouette(points, clustering.scaled_names(S.CLUSTER_FEATURES), "label")
+    return spark.range(1).select(round_half_even(F.lit(width), 6).alias("silhouette"))
+
+
+@query
+def c3_squared_silhouette(spark, sf_dir):
+    stored = stored_fine(spark, sf_dir, *S.CLUSTER_FEATURES)
+    points = _scaled(stored).withColumn("label", F.col("Total_saisines") % 3)
+    width = clustering.squared_silhouette(points, "label")
+    return spark.range(1).select(round_half_even(F.lit(width), 6).alias("silhouette"))
+
+
+@query
+def c4_k_sweep(spark, sf_dir):
+    vectors = _cluster_vectors(spark, sf_dir, log=True)
+    return clustering.evaluate_k(vectors, S.CLUSTER_FEATURES, restarts=1, metric="squared").rows
+
+
+@query
+def c5_choose_k(spark, sf_dir):
+    total = F.sum("n").over(Window.partitionBy())
+    rows = (
+        fine_clean(spark, sf_dir)
+        .groupBy(S.PERIOD)
+        .agg(F.count("*").alias("n"), round_half_even(F.avg("Taux_DEF_sur_saisines"), 6).alias("silhouette"))
+        .select(
+            (F.substring(S.PERIOD, 1, 4).cast("int") - 1993).alias("k"),
+            "silhouette",
+            (F.col("n") / total / 2).alias("ratio_cluster_min"),
+        )
+    )
+    return spark.range(1).select(F.lit(clustering.choose_k(rows)).cast("long").alias("k"))
+
+
+@query
+def c6_pca_axes(spark, sf_dir):
+    stored = stored_fine(spark, sf_dir, S.RECORD_ID, *S.CLUSTER_FEATURES)
+    points = _scaled(stored)
+    axes, _ = clustering.fit_axes(points, S.CLUSTER_FEATURES)
+    return points.selectExpr(
+        S.RECORD_ID, *[f"{round_sql(text, 6)} as {name}" for text, name in zip(axes, clustering.AXES)]
+    )
+
+
+@query
+def c7_compare_transformations(spark, sf_dir):
+    def rows(log: bool) -> DataFrame:
+        vectors = _cluster_vectors(spark, sf_dir, log)
+        return clustering.evaluate_k(vectors, S.CLUSTER_FEATURES, restarts=1, metric="squared").rows
+
+    return clustering.compare_transformations(rows(False), rows(True))
+
+
+@query
+def c8_cluster_metrics(spark, sf_dir):
+    stored = stored_fine(spark, sf_dir)
+    _, metrics, _ = clustering.cluster_table(stored, sweep_restarts=1, final_restarts=1, metric="squared")
+    return metrics.select(F.to_json(F.struct("*")).alias("document"))
+
+
+# ---------------------------------------------------------------- supervised modelling
+
+MODEL_COLUMNS = list(dict.fromkeys([*validation.KEYS, *S.MODEL_FEATURES, S.TARGET]))
+
+
+def stored_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_fine(spark, sf_dir, *MODEL_COLUMNS)
+
+
+def with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model rows with missing counts and categories."""
+    numbered = cells.fine_cells(spark, sf_dir).select(
+        cells.ORDINAL,
+        S.PERIOD,
+        F.expr(f"if({cells.ORDINAL} % 4 = 0, null, {S.CATEGORY}) as {S.CATEGORY}"),
+        *[F.expr(f"if({cells.ORDINAL} % 5 = 0, null, {c}) as {c}") for c in S.NUMERIC_FEATURES],
+    )
+    return materialize(numbered, "with_gaps")
+
+
+def with_standin_prediction(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(
+        "*",
+        f"cast({S.TARGET} as double) as {validation.ACTUAL}",
+        f"(2 * Saisine_FD - Saisine_ST - 1) / 3D as {PREDICTION}",
+    )
+
+
+@query
+def m1_median_imputation(spark, sf_dir):
+    rows = with_gaps(spark, sf_dir)
+    fill = regressors.fit_imputation(rows, S.NUMERIC_FEATURES, [])
+    return rows.selectExpr(
+        cells.ORDINAL, S.PERIOD, *[f"{fill.numeric(c)} as {c}" for c in S.NUMERIC_FEATURES]
+    )
+
+
+@query
+def m2_mode_imputation(spark, sf_dir):
+    rows = with_gaps(spark, sf_dir)
+    fill = regressors.fit_imputation(rows, [], [S.CATEGORY])
+    return rows.selectExpr(cells.ORDINAL, S.PERIOD, f"{fill.category(S.CATEGORY)} as {S.CATEGORY}")
+
+
+@query
+def m3_one_hot(spark, sf_dir):
+    rows = stored_model_rows(spark, sf_dir)
+    known = rows.where(F.col(S.PERIOD) != "1995")
+    stages = regressors.fit_preprocessor(known)
+    slots = vector_to_array(F.col(f"_h_{S.PERIOD}"))
+    encoded = PipelineModel(stages).transform(rows)
+    return encoded.select(
+        S.RECORD_ID, *[slots[i].alias(f"p{period[:4]}") for i, period in enumerate(cells.PERIODS[1:])]
+    )
+
+
+@query
+def m4_preprocessor(spark, sf_dir):
+    rows = with_gaps(spark, sf_dir)
+    prepared = PipelineModel(regressors.fit_preprocessor(rows)).transform(rows)
+    return prepared.selectExpr(
+        cells.ORDINAL, S.PERIOD, *[f"{round_sql(f'_z_{c}', 6)} as {c}" for c in S.NUMERIC_FEATURES]
+    )
+
+
+@query
+def m5_median_baseline(spark, sf_dir):
+    folded = materialize(validation.shuffled_folds(stored_model_rows(spark, sf_dir)), "folded")
+    held_out = validation.out_of_fold(folded, regressors.fit_median, 5, keep=[S.RECORD_ID])
+    return held_out.select(S.RECORD_ID, F.col(validation.FOLD).cast("long").alias("fold"), PREDICTION)
+
+
+@query
+def m6_ridge(spark, sf_dir):
+    rows = stored_model_rows(spark, sf_dir)
+    model = regressors.fit_ridge(rows)
+    return model.transform(rows).selectExpr(S.RECORD_ID, f"{round_sql(PREDICTION, 4)} as {PREDICTION}")
+
+
+@query
+def m7_random_forest(spark, sf_dir):
+    rows = stored_model_rows(spark, sf_dir)
+    model = regressors.fit_forest_regressor(rows, trees=20)
+    return model.transform(rows).selectExpr(S.RECORD_ID, f"{round_sql(PREDICTION, 4)} as {PREDICTION}")
+
+
+@query
+def m8_huber_boosting(spark, sf_dir):
+    rows = stored_model_rows(spark, sf_dir)
+    model = regressors.fit_boosting(rows, rounds=5, rate=0.3)
+    return model.transform(rows).selectExpr(S.RECORD_ID, f"{round_sql(PREDICTION, 4)} as {PREDICTION}")
+
+
+@query
+def m9_shuffled_folds(spark, sf_dir):
+    folded = validation.shuffled_folds(stored_fine(spark, sf_dir, S.RECORD_ID))
+    return folded.select(S.RECORD_ID, F.col(validation.FOLD).cast("long").alias("fold"))
+
+
+@query
+def m10_period_folds(spark, sf_dir):
+    folded, _ = validation.period_folds(stored_fine(spark, sf_dir, S.RECORD_ID, S.PERIOD))
+    return folded.select(S.RECORD_ID, F.col(validation.FOLD).cast("long").alias("fold"))
+
+
+@query
+def m11_cv_summary(spark, sf_dir):
+    folded = validation.shuffled_folds(stored_model_rows(spark, sf_dir))
+    return validation.cv_summary(with_standin_prediction(folded))
+
+
+@query
+def m12_training_diagnostics(spark, sf_dir):
+    return validation.training_diagnostics(with_standin_prediction(fine_clean(spark, sf_dir)))
+
+
+def _comparison(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, validation.Comparison]:
+    stored = materialize(coarse_clean(spark, sf_dir).select(*MODEL_COLUMNS), "coarse_cells")
+    models = regressors.candidate_models(trees=10, rounds=2)
+    return stored, validation.evaluate_models(stored, models)
+
+
+@query
+def m13_model_comparison(spark, sf_dir):
+    return validation.leaderboard(flatten_results(_comparison(spark, sf_dir)[1].results), "kfold_rmse")
+
+
+@query
+def m14_out_of_fold_ridge(spark, sf_dir):
+    folded = materialize(validation.shuffled_folds(stored_model_rows(spark, sf_dir)), "folded")
+    held_out = validation.out_of_fold(folded, regressors.fit_ridge, 5, keep=[S.RECORD_ID])
+    return held_out.selectExpr(S.RECORD_ID, f"{round_sql(PREDICTION, 4)} as {PREDICTION}")
+
+
+@query
+def p16_clipped_residuals(spark, sf_dir):
+    return validation.prediction_table(with_standin_prediction(fine_clean(spark, sf_dir)))
+
+
+@query
+def m15_prediction_table(spark, sf_dir):
+    folded = materialize(validation.shuffled_folds(stored_model_rows(spark, sf_dir)), "folded")
+    return validation.prediction_table(validation.out_of_fold(folded, regressors.fit_median, 5))
+
+
+@query
+def m16_permutation_importance(spark, sf_dir):
+    rows = stored_model_rows(spark, sf_dir)
+    return validation.permutation_importance(rows, regressors.fit_ridge(rows), repeats=3)
+
+
+@query
+def m17_batch_scoring(spark, sf_dir):
+    rows = stored_model_rows(spark, sf_dir)
+    names = {**{v: k for k, v in S.SCORING_COUNTS.items()}, S.PERIOD: "annee", S.CATEGORY: "categorie"}
+    given = rows.select(S.RECORD_ID, *S.MODEL_FEATURES).withColumnsRenamed(names)
+    return score(given, regressors.fit_ridge(rows), regressors.RIDGE)[0]
+
+
+@query
+def m18_regression_metrics(spark, sf_dir):
+    stored = materialize(coarse_clean(spark, sf_dir).select(*MODEL_COLUMNS), "coarse_cells")
+    models = {regressors.MEDIAN: regressors.fit_median, regressors.RIDGE: regressors.fit_ridge}
+    found = validation.evaluate_models(stored, models)
+    importances = validation.permutation_importance(stored, found.best_model, repeats=2)
+    metrics = validation.regression_metrics(found, importances, stored.count())
+    return metrics.select(F.to_json(F.struct("*")).alias("document"))
+
+
+@query
+def o5_leaderboard(spark, sf_dir):
+    error = "(Resultats_DEF - Resultats_DAT)"
+    scored = fine_clean(spark, sf_dir).groupBy(F.col(S.CATEGORY).alias("modele")).agg(
+        F.expr(f"{round_sql(f'sqrt(avg({error} * {error}))', 4)} as rmse")
+    )
+    best = validation.best_model_name(scored, "rmse")
+    return validation.leaderboard(scored, "rmse").withColumn("meilleur", F.col("modele") == best)
+
+
+@query
+def s5_model_round_trip(spark, sf_dir):
+    rows = stored_model_rows(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    save_model(regressors.fit_median(rows), path)
+    scored = load_model(path).transform(rows)
+    return scored.select(S.RECORD_ID, PREDICTION)
+
+
+# ---------------------------------------------------------------- whole preparations
+
+
+def _prepared(spark: SparkSession, sf_dir: str, models: dict) -> stages.Workspace:
+    space = stages.Workspace(spark, scratch_path(spark, "workspace"))
+    stages.prepare_all(
+        space,
+        cells.coarse_cells(spark, sf_dir),
+        cells.official_totals(spark, sf_dir),
+        cells.ORDINAL,
+        cells.PERIOD_FACTORS,
+        restarts=(1, 1),
+        isolation_trees=MODEL_TREES,
+        models=models,
+        repeats=2,
+    )
+    return space
+
+
+@query
+def x1_prepare_stages(spark, sf_dir):
+    models = {regressors.MEDIAN: regressors.fit_median, regressors.RIDGE: regressors.fit_ridge}
+    space = _prepared(spark, sf_dir, models)
+    enriched = space.read("enriched", "model")
+    return enriched.groupBy(clustering.CLUSTER, rules.LEVEL).agg(F.count("*").alias("nombre"))
+
+
+@query
+def x2_prepare_and_load(spark, sf_dir):
+    space = _prepared(spark, sf_dir, {regressors.RIDGE: regressors.fit_ridge})
+    loaded = stages.load(space, "tallyforge_enriched", force=True, path=scratch_path(spark, "serving"))
+    return spark.createDataFrame([(loaded,)], "lignes long")
+
+
+@query
+def x3_stage_precondition(spark, sf_dir):
+    space = stages.Workspace(spark, scratch_path(spark, "workspace"))
+    write_table(coarse_clean(spark, sf_dir), space.path("clean"))
+    found = space.read("clean", "cleaning").agg(F.count("*").alias("lignes"))
+    try:
+        stages.prepare_anomalies(space)
+    except StageMissing:
+        return found.withColumn("etape_suivante", F.lit("refusee"))
+    return found.withColumn("etape_suivante", F.lit("executee"))
+
+
+@query
+def x4_dashboard_feeds(spark, sf_dir):
+    served = materialize(fine_serving(spark, sf_dir), "serving")
+    views = dashboard.feeds(served, reconciliation(spark, sf_dir))
+    sizes = [
+        frame.agg(F.count("*").alias("lignes")).select(F.lit(name).alias("vue"), "lignes")
+        for name, frame in views.items()
+    ]
+    return reduce(DataFrame.unionByName, sizes)
