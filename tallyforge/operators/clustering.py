@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyforge import schema as S
 from tallyforge.functions.numbers import number_sql, round_sql
 from tallyforge.operators.reshape import one_row
+from tallyforge.runtime import in_parallel
 
 CLUSTER = "Cluster"
 AXES = ["PCA_1", "PCA_2"]
@@ -145,15 +145,9 @@ def squared_silhouette(vectors: DataFrame, label: str, vector: str = VECTOR) ->
 # ---------------------------------------------------------------- choice of k
 
 
-@dataclass
-class Diagnostics:
-    rows: DataFrame
-    models: dict[int, KMeansModel]
-
-
 def evaluate_k(
     vectors: DataFrame, features: list[str], restarts: int = 30, seed: int = 42, metric: str = "auto"
-) -> Diagnostics:
+) -> DataFrame:
     """Silhouette and cluster sizes for k from 2 to 6; degenerate fits are left out.
 
     ``metric`` is ``euclidean``, ``squared`` or ``auto``, which takes the Euclidean one
@@ -164,27 +158,27 @@ def evaluate_k(
     if metric == "auto":
         distinct = vectors.select(*columns).distinct().limit(EXACT_POINTS + 1).count()
         metric = "euclidean" if distinct <= EXACT_POINTS else "squared"
-    found, models = [], {}
-    for k in range(2, min(LARGEST_K, rows_in - 1) + 1):
+
+    def evaluate(k: int) -> tuple | None:
         model = fit_kmeans(vectors, k, restarts, seed)
         sizes = sorted((size for size in model.summary.clusterSizes if size), reverse=True)
         if len(sizes) < 2:
-            continue
+            return None
         labelled = model.transform(vectors)
         if metric == "euclidean":
             width = euclidean_silhouette(labelled, columns, RAW_LABEL)
         else:
             width = squared_silhouette(labelled, RAW_LABEL)
-        models[k] = model
-        found.append(
-            (k, width, metric, sizes[-1], sizes[0], sizes[-1] / rows_in, {str(i): s for i, s in enumerate(sizes)})
-        )
-    rows = vectors.sparkSession.createDataFrame(
+        shown = {str(i): size for i, size in enumerate(sizes)}
+        return k, width, metric, sizes[-1], sizes[0], sizes[-1] / rows_in, shown
+
+    ks = range(2, min(LARGEST_K, rows_in - 1) + 1)
+    found = [row for row in in_parallel(vectors.sparkSession, evaluate, ks) if row]
+    return vectors.sparkSession.createDataFrame(
         found,
         "k int, silhouette double, metrique_silhouette string, taille_min_cluster long, "
         "taille_max_cluster long, ratio_cluster_min double, tailles_clusters map<string,long>",
     )
-    return Diagnostics(rows, models)
 
 
 def choose_k(rows: DataFrame) -> int:
@@ -236,11 +230,11 @@ def cluster_table(
     ``df`` should be a stored table, it is read for every fit.
     """
     raw, _ = scaled_vectors(df, features, log=False)
-    raw_rows = evaluate_k(raw, features, sweep_restarts, seed, metric).rows
+    raw_rows = evaluate_k(raw, features, sweep_restarts, seed, metric)
     vectors, scaler = scaled_vectors(df, features, log=True)
     vectors = vectors.persist()
-    diagnostics = evaluate_k(vectors, features, sweep_restarts, seed, metric)
-    k = choose_k(diagnostics.rows)
+    log_rows = evaluate_k(vectors, features, sweep_restarts, seed, metric)
+    k = choose_k(log_rows)
     kmeans = fit_kmeans(vectors, k, final_restarts, seed)
     axes, shares = fit_axes(vectors, features)
     vectors.unpersist()
@@ -251,7 +245,7 @@ def cluster_table(
     )
     model = PipelineModel([scaler, assembler(features), kmeans, finish])
     clustered = apply_clusters(model, df)
-    metrics = cluster_metrics(clustered, diagnostics.rows, raw_rows, k, shares, features)
+    metrics = cluster_metrics(clustered, log_rows, raw_rows, k, shares, features)
     return clustered, metrics, model
 
 

@@ -11,13 +11,18 @@ from tallyforge.operators.reshape import long_rows, one_row
 
 
 def counts_by_period_and_category(clean: DataFrame) -> DataFrame:
-    """Rows per period and per category in one grouping-sets pass."""
-    grouped = clean.groupingSets(
+    """Rows per period and per category.
+
+    Rows are counted per (period, category) first, so the grouping sets expand a handful
+    of counts and not the table.
+    """
+    pairs = clean.groupBy(S.PERIOD, S.CATEGORY).agg(F.count("*").alias("n"))
+    grouped = pairs.groupingSets(
         [[F.col(S.PERIOD)], [F.col(S.CATEGORY)]], F.col(S.PERIOD), F.col(S.CATEGORY)
-    ).agg(F.count("*").alias("nombre"), F.grouping(S.PERIOD).alias("_category_row"))
-    return grouped.select(
-        F.when(F.col("_category_row") == 1, F.lit(S.CATEGORY)).otherwise(F.lit(S.PERIOD)).alias("dimension"),
-        F.coalesce(F.col(S.PERIOD), F.col(S.CATEGORY)).alias("valeur"),
+    ).agg(F.sum("n").alias("nombre"), F.grouping(S.PERIOD).alias("_category_row"))
+    return grouped.selectExpr(
+        f"if(_category_row = 1, '{S.CATEGORY}', '{S.PERIOD}') as dimension",
+        f"if(_category_row = 1, {S.CATEGORY}, {S.PERIOD}) as valeur",
         "nombre",
     )
 

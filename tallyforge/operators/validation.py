@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,7 +15,7 @@ from tallyforge.functions.numbers import round_sql
 from tallyforge.operators.folds import FOLD, period_folds, shuffled_folds
 from tallyforge.operators.regressors import PREDICTION, Fitter
 from tallyforge.operators.reshape import one_row
-from tallyforge.runtime import materialize
+from tallyforge.runtime import broadcast_if_small, in_parallel, materialize
 
 ACTUAL = "Valeur_reelle"
 PREDICTED = "Prediction_CV"
@@ -38,8 +36,7 @@ def out_of_fold(
             *keep, f"{fold} as {FOLD}", f"cast({target} as double) as {ACTUAL}", PREDICTION
         )
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(inheritable_thread_target(df.sparkSession)(predict), range(folds)))
+    parts = in_parallel(df.sparkSession, predict, range(folds), parallelism)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -155,8 +152,8 @@ def dense_index(df: DataFrame, column: str = "_index") -> DataFrame:
         "_part",
         "coalesce(sum(_size) over (order by _part rows between unbounded preceding and 1 preceding), 0) as _before",
     )
-    within = f"_id - shiftleft(_part, 33)"
-    return numbered.join(offsets, "_part").withColumn(column, F.expr(f"_before + {within}")).drop(
+    within = "_id - shiftleft(_part, 33)"
+    return numbered.join(broadcast_if_small(offsets), "_part").withColumn(column, F.expr(f"_before + {within}")).drop(
         "_id", "_part", "_before"
     )
 

@@ -740,7 +740,7 @@ def c3_squared_silhouette(spark, sf_dir):
 @query
 def c4_k_sweep(spark, sf_dir):
     vectors = _cluster_vectors(spark, sf_dir, log=True)
-    return clustering.evaluate_k(vectors, S.CLUSTER_FEATURES, restarts=1, metric="squared").rows
+    return clustering.evaluate_k(vectors, S.CLUSTER_FEATURES, restarts=1, metric="squared")
 
 
 @query
@@ -773,7 +773,7 @@ def c6_pca_axes(spark, sf_dir):
 def c7_compare_transformations(spark, sf_dir):
     def rows(log: bool) -> DataFrame:
         vectors = _cluster_vectors(spark, sf_dir, log)
-        return clustering.evaluate_k(vectors, S.CLUSTER_FEATURES, restarts=1, metric="squared").rows
+        return clustering.evaluate_k(vectors, S.CLUSTER_FEATURES, restarts=1, metric="squared")
 
     return clustering.compare_transformations(rows(False), rows(True))
 

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+BROADCAST_ROWS = 1_000_000
 
 _local_roots: dict[str, str] = {}
 
@@ -42,6 +48,21 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_parallel(spark: SparkSession, work: Callable, items: Iterable, threads: int = 4) -> list:
+    """Submit independent Spark jobs from a few driver threads; results keep their order."""
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Mark a lookup for broadcast only when its counted rows stay below the limit.
+
+    Above it the join is left to the optimizer, which shuffles both sides.
+    """
+    small = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(df) if small else df
+
+
 class RollingState:
     """Keeps the state of an iterative job in two alternating shared folders.
 

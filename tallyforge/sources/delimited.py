@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from tallyforge.runtime import materialize
+from tallyforge.runtime import broadcast_if_small, materialize
 
 # Cell spellings read as missing.
 MISSING_SPELLINGS = [
@@ -66,7 +66,7 @@ def _with_row_index(rows: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("_size").over(earlier), F.lit(0))
     offsets = splits.select("_file", "_start", "_first", before.alias("_before"))
     position = F.col("_before") + F.col("_line") - F.col("_first")
-    return placed.join(offsets, ["_file", "_start"]).withColumn(ROW_INDEX, position)
+    return placed.join(broadcast_if_small(offsets), ["_file", "_start"]).withColumn(ROW_INDEX, position)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:

@@ -40,5 +40,6 @@ def load_serving_table(
     spark = df.sparkSession
     filled = spark.catalog.tableExists(table) and not spark.table(table).isEmpty()
     if force or not filled:
-        df.write.mode("overwrite").saveAsTable(table, path=path)
+        placed = {"path": path} if path else {}
+        df.write.mode("overwrite").saveAsTable(table, **placed)
     return spark.table(table).count()
