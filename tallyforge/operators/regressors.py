@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from tallyforge import schema as S
 from tallyforge.functions.numbers import number_sql
@@ -61,10 +61,17 @@ class Imputation:
         return column
 
 
-def fit_imputation(df: DataFrame, numeric: list[str], categorical: list[str]) -> Imputation:
-    missing = df.agg(
-        *[F.expr(f"count_if({c} is null) as {c}") for c in [*numeric, *categorical]]
-    ).first()
+def _missing_sql(columns: list[str]) -> list[Column]:
+    return [F.expr(f"count_if({c} is null) as n_{c}") for c in columns]
+
+
+def fit_imputation(
+    df: DataFrame, numeric: list[str], categorical: list[str], missing: dict[str, int] | None = None
+) -> Imputation:
+    """Medians and modes of the columns with gaps; ``missing`` spares the counting pass."""
+    if missing is None:
+        row = df.agg(*_missing_sql([*numeric, *categorical])).first()
+        missing = {c: row[f"n_{c}"] for c in [*numeric, *categorical]}
     gaps = [c for c in numeric if missing[c]]
     medians = {c: q[0] for c, q in exact_quantiles(df, gaps, [0.5]).items()} if gaps else {}
     modes = {c: most_frequent(df, c) for c in categorical if missing[c]}
@@ -74,22 +81,43 @@ def fit_imputation(df: DataFrame, numeric: list[str], categorical: list[str]) ->
     )
 
 
+@dataclass(frozen=True)
+class Preprocessor:
+    stages: list[Transformer]
+    rows: int
+    label_spread: float
+
+
 def fit_preprocessor(
     df: DataFrame,
     numeric: list[str] = S.NUMERIC_FEATURES,
     categorical: list[str] = S.CATEGORICAL_FEATURES,
-) -> list[Transformer]:
+    target: str | None = None,
+) -> Preprocessor:
     """Impute, standardise, one-hot and assemble; unseen categories become all zeros.
 
-    Means, deviations and category lists come from one aggregate over the training rows.
-    Category lists are as long as the one-hot vector, which has to fit a row anyway.
+    Without gaps everything comes from one aggregate over the training rows; only a
+    column with gaps costs the median or mode and a second aggregate. Category lists are
+    as long as the one-hot part of a row, so they fit wherever a row does.
     """
-    fill = fit_imputation(df, numeric, categorical)
-    stats = df.agg(
-        *[F.expr(f"avg({fill.numeric(c)}) as m_{c}") for c in numeric],
-        *[F.expr(f"stddev_pop({fill.numeric(c)}) as s_{c}") for c in numeric],
-        *[F.expr(f"sort_array(collect_set({fill.category(c)})) as c_{c}") for c in categorical],
-    ).first()
+    every = [*numeric, *categorical]
+
+    def statistics(fill: Imputation) -> Row:
+        return df.agg(
+            F.expr("count(*) as _rows"),
+            F.expr(f"coalesce(stddev_pop({target}), 0D) as _spread") if target else F.lit(0.0).alias("_spread"),
+            *_missing_sql(every),
+            *[F.expr(f"sort_array(collect_set({fill.category(c)})) as l_{c}") for c in categorical],
+            *[F.expr(f"avg({fill.numeric(c)}) as m_{c}") for c in numeric],
+            *[F.expr(f"stddev_pop({fill.numeric(c)}) as s_{c}") for c in numeric],
+        ).first()
+
+    fill = Imputation({}, {})
+    stats = statistics(fill)
+    missing = {c: stats[f"n_{c}"] for c in every}
+    if any(missing.values()):
+        fill = fit_imputation(df, numeric, categorical, missing)
+        stats = statistics(fill)
     scaled = [
         f"({fill.numeric(c)} - {number_sql(stats[f'm_{c}'])}) / {number_sql(stats[f's_{c}'] or 1.0)} AS _z_{c}"
         for c in numeric
@@ -98,7 +126,7 @@ def fit_preprocessor(
     prepare = SQLTransformer(statement=f"SELECT *, {', '.join(scaled + filled)} FROM __THIS__")
     indexers = [
         StringIndexerModel.from_labels(
-            stats[f"c_{c}"], inputCol=f"_c_{c}", outputCol=f"_i_{c}", handleInvalid="keep"
+            stats[f"l_{c}"], inputCol=f"_c_{c}", outputCol=f"_i_{c}", handleInvalid="keep"
         )
         for c in categorical
     ]
@@ -111,7 +139,7 @@ def fit_preprocessor(
     vector = VectorAssembler(
         inputCols=[f"_z_{c}" for c in numeric] + [f"_h_{c}" for c in categorical], outputCol=FEATURES
     )
-    return [prepare, *indexers, encoder, vector]
+    return Preprocessor([prepare, *indexers, encoder, vector], stats["_rows"], stats["_spread"])
 
 
 def _prepared(df: DataFrame, stages: list[Transformer], target: str) -> DataFrame:
@@ -132,8 +160,8 @@ def fit_ridge(df: DataFrame, target: str = S.TARGET, alpha: float = 10.0) -> Pip
     The library scales its penalty by the row count and the label deviation, hence the
     conversion.
     """
-    stages = fit_preprocessor(df)
-    stats = df.agg(F.count("*").alias("n"), F.stddev_pop(target).alias("spread")).first()
+    prepared = fit_preprocessor(df, target=target)
+    stages = prepared.stages
     line = LinearRegression(
         featuresCol=FEATURES,
         labelCol=LABEL,
@@ -141,7 +169,7 @@ def fit_ridge(df: DataFrame, target: str = S.TARGET, alpha: float = 10.0) -> Pip
         elasticNetParam=0.0,
         standardization=False,
         solver="normal",
-        regParam=alpha * (stats.spread or 0.0) / stats.n,
+        regParam=alpha * prepared.label_spread / prepared.rows,
     )
     return PipelineModel([*stages, line.fit(_prepared(df, stages, target))])
 
@@ -149,7 +177,7 @@ def fit_ridge(df: DataFrame, target: str = S.TARGET, alpha: float = 10.0) -> Pip
 def fit_forest_regressor(
     df: DataFrame, target: str = S.TARGET, trees: int = 350, depth: int = 8, bins: int = 128, seed: int = 42
 ) -> PipelineModel:
-    stages = fit_preprocessor(df)
+    stages = fit_preprocessor(df).stages
     forest = RandomForestRegressor(
         featuresCol=FEATURES,
         labelCol=LABEL,
@@ -187,7 +215,7 @@ def fit_boosting(
     quantile sketches, whose size does not grow with the data. The running prediction is
     stored every few rounds so the plan stays short.
     """
-    stages = fit_preprocessor(df)
+    stages = fit_preprocessor(df).stages
     start = exact_quantiles(df, [target], [0.5])[target][0]
     state = RollingState(df.sparkSession, "boosting")
     current = state.save(

@@ -464,6 +464,10 @@ def build() -> dict[str, str]:
         return f"""({v} - avg({v}) over ()) / coalesce(nullif(stddev_pop({v}) over (), 0), 1)"""
 
     zs = ", ".join(f'{z_of(c)} as z{i}' for i, c in enumerate(S.CLUSTER_FEATURES))
+    # The threshold is an interpolated quantile of distinct scores, so the counts are known.
+    sqls["r9_contamination_sweep"] = f"""with {FINE_CLEAN}, n as (select count(*) as n from clean), found as (select c::double as contamination,
+        ceil(c::double * (n - 1))::bigint as hits, n from n, (select unnest([0.03, 0.05, 0.08, 0.1, 0.15]) as c))
+      select contamination, hits as nombre_anomalies_ml, {rnd('100 * hits::double / n', 2)} as pourcentage from found"""
     sqls["c1_standardised_counts"] = f"""with {FINE_CLEAN} select "Record_ID", {', '.join(rnd(z_of(c), 6) + f' as "{c}"' for c in S.CLUSTER_FEATURES)} from clean"""
     square = " + ".join(f"(p.z{i} - o.z{i}) * (p.z{i} - o.z{i})" for i in range(6))
     points = f"""points as (select row_number() over (order by "Record_ID") as id, "Total_saisines" % 3 as label, {zs} from clean),

@@ -833,9 +833,9 @@ def m2_mode_imputation(spark, sf_dir):
 def m3_one_hot(spark, sf_dir):
     rows = stored_model_rows(spark, sf_dir)
     known = rows.where(F.col(S.PERIOD) != "1995")
-    stages = regressors.fit_preprocessor(known)
+    fitted = regressors.fit_preprocessor(known).stages
     slots = vector_to_array(F.col(f"_h_{S.PERIOD}"))
-    encoded = PipelineModel(stages).transform(rows)
+    encoded = PipelineModel(fitted).transform(rows)
     return encoded.select(
         S.RECORD_ID, *[slots[i].alias(f"p{period[:4]}") for i, period in enumerate(cells.PERIODS[1:])]
     )
@@ -844,7 +844,7 @@ def m3_one_hot(spark, sf_dir):
 @query
 def m4_preprocessor(spark, sf_dir):
     rows = with_gaps(spark, sf_dir)
-    prepared = PipelineModel(regressors.fit_preprocessor(rows)).transform(rows)
+    prepared = PipelineModel(regressors.fit_preprocessor(rows).stages).transform(rows)
     return prepared.selectExpr(
         cells.ORDINAL, S.PERIOD, *[f"{round_sql(f'_z_{c}', 6)} as {c}" for c in S.NUMERIC_FEATURES]
     )
