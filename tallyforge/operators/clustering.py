@@ -61,7 +61,7 @@ def scaled_vectors(df: DataFrame, features: list[str], log: bool) -> tuple[DataF
 def fit_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int = 42) -> KMeansModel:
     """Best of several seeded fits by within-cluster cost."""
     fits = [
-        KMeans(k=k, seed=seed + i, featuresCol=VECTOR, predictionCol=RAW_LABEL, maxIter=50).fit(vectors)
+        KMeans(k=k, seed=seed + i, featuresCol=VECTOR, predictionCol=RAW_LABEL, maxIter=300).fit(vectors)
         for i in range(restarts)
     ]
     return min(fits, key=lambda model: model.summary.trainingCost)

@@ -19,7 +19,7 @@ def skewness_sql(column: str) -> str:
     value = f"cast({column} as double)"
     n = f"cast(count({value}) as double)"
     return (
-        f"case when count({value}) > 2 then if(var_pop({value}) = 0, 0D, "
+        f"case when count({value}) > 2 then if(min({value}) = max({value}), 0D, "
         f"skewness({value}) * sqrt({n} * ({n} - 1)) / ({n} - 2)) end"
     )
 

@@ -8,6 +8,7 @@ from tallyforge import schema as S
 from tallyforge.functions.numbers import round_sql
 from tallyforge.operators.reconcile import MATCH
 from tallyforge.operators.reshape import long_rows, one_row
+from tallyforge.runtime import materialize
 
 
 def counts_by_period_and_category(clean: DataFrame) -> DataFrame:
@@ -28,14 +29,18 @@ def counts_by_period_and_category(clean: DataFrame) -> DataFrame:
 
 
 def _by_label(clean: DataFrame) -> DataFrame:
-    """Partial report per (period, category, label), the only pass over the measures."""
+    """Partial report per (period, category, label), the only pass over the measures.
+
+    It is stored, because every figure of the report but the duplicates is drawn from it.
+    """
     negatives = " + ".join(f"cast({c} < 0 as bigint)" for c in S.MEASURES)
-    return clean.groupBy(S.PERIOD, S.CATEGORY, S.NORMALISED).agg(
+    partial = clean.groupBy(S.PERIOD, S.CATEGORY, S.NORMALISED).agg(
         F.expr("count(*) as rows"),
         F.expr(f"count_if({S.MISSING_LABEL}) as missing"),
         F.expr(f"sum({negatives}) as negatives"),
         F.expr("count_if(Volume_activite = 0) as idle"),
     )
+    return materialize(partial, "by_label")
 
 
 def _scalars(by_label: DataFrame, clean: DataFrame) -> list[DataFrame]:
