@@ -77,7 +77,8 @@ def _draw_samples(df: DataFrame, features: list[str], key: str, rows: int, trees
 
 
 def _tree_grower(features: list[str], sample: int, seed: int):
-    path_of = expected_path
+    # Plain data, so that tasks need not import this package.
+    leaf_path = [expected_path(rows) for rows in range(sample + 1)]
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
@@ -100,7 +101,7 @@ def _tree_grower(features: list[str], sample: int, seed: int):
             threshold.append(cut)
             below.append(node)
             above.append(node)
-            path.append(0.0 if split else depth + path_of(len(rows)))
+            path.append(0.0 if split else depth + leaf_path[len(rows)])
             if split:
                 small = rows[:, column] <= cut
                 waiting.append((rows[small], depth + 1, node, False))

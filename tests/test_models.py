@@ -165,7 +165,7 @@ def test_imputation_and_unseen_categories(spark, model_rows):
 
 
 def test_comparison_reports_both_validations(spark, model_rows):
-    models = regressors.candidate_models(trees=5, rounds=2)
+    models = regressors.candidate_models(trees=5, rounds=1)
     found = validation.evaluate_models(model_rows, models)
     rows = found.results.collect()
     assert {r.modele for r in rows} == set(models) and all(r.validation_par_periode.mae >= 0 for r in rows)
