@@ -8,6 +8,7 @@ from tallyforge.llm import repeats, simhash
 from tallyforge.llm.common import table
 
 QUERIES = {}
+ORACLE: dict[str, str] = {}
 
 
 def query(function):
