@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import repeats, simhash
-from tallyforge.llm.common import table
+from tallyforge.llm import packing, repeats, simhash
+from tallyforge.llm.common import stage, table
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -38,3 +39,16 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file, read on the driver; about 1.5 MB."""
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+@query
+def op9_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.tokenised_pieces(docs, tokenizer_json(), size=1024, end_id=2)
+    return packing.pack(stage(pieces, "pieces"), size=1024)
