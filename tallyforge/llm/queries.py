@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import packing, repeats, simhash
+from tallyforge.llm import packing, repeats, secrets, simhash
 from tallyforge.llm.common import stage, table
 
 QUERIES = {}
@@ -52,3 +52,20 @@ def op9_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.tokenised_pieces(docs, tokenizer_json(), size=1024, end_id=2)
     return packing.pack(stage(pieces, "pieces"), size=1024)
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs)
+    base = F.filter("spans", lambda s: s["kind"].isin(*(r.kind for r in secrets.BASE_RULES)))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "row.doc_id",
+        *(number(rule.kind) for rule in secrets.BASE_RULES),
+        F.sha2(secrets.joined_spans(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined_spans(F.col("spans")).alias("spans"),
+    )
