@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import packing, repeats, secrets, simhash
-from tallyforge.llm.common import stage, table
+from tallyforge.llm import packing, repeats, secrets, simhash, toxicity
+from tallyforge.llm.common import crc_fold, stage, table
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +69,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.joined_spans(base).cast("binary"), 256).alias("base_sha256"),
         secrets.joined_spans(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select(
+        "row.doc_id",
+        (crc_fold("row.doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
