@@ -449,3 +449,13 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         ]
     )
     return joined.mapInArrow(_cut(length), schema)
+
+
+def whole_characters(kept: str):
+    """The rest of a text as a string; what removal has left of a split character goes."""
+
+    def run(kept: pa.Array) -> pa.Array:
+        texts = [None if raw is None else raw.decode(errors="ignore") for raw in kept.to_pylist()]
+        return pa.array(texts, pa.string())
+
+    return F.arrow_udf(run, "string")(kept)
