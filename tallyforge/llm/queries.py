@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import packing, repeats, secrets, simhash, toxicity
+from tallyforge.llm import langid, packing, repeats, secrets, simhash, toxicity
 from tallyforge.llm.common import crc_fold, stage, table
 
 QUERIES = {}
@@ -81,3 +81,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = langid.fit(langid.training_rows(docs))
+    return langid.identify(docs.select("doc_id", "text"), filters).select(
+        "row.doc_id", (crc_fold("row.doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
