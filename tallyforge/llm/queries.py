@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import langid, packing, repeats, secrets, simhash, toxicity
+from tallyforge.llm import langid, maxscore, packing, repeats, secrets, simhash, toxicity, vectors
 from tallyforge.llm.common import crc_fold, stage, table
 
 QUERIES = {}
@@ -90,3 +90,34 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), filters).select(
         "row.doc_id", (crc_fold("row.doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+@query
+def op6_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = maxscore.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return maxscore.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+ORACLE["op6_maxscore_topk"] = """
+WITH usable AS (
+    SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS whole
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, r.vec_id,
+           CAST(list_inner_product(CAST(q.whole AS DOUBLE[]), CAST(r.whole AS DOUBLE[])) AS BIGINT) AS score
+    FROM usable q JOIN usable r ON len(q.whole) = len(r.whole) AND q.vec_id <> r.vec_id
+    WHERE q.vec_id % 100 = 0
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
