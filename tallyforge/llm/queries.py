@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import langid, maxscore, packing, repeats, secrets, simhash, toxicity, vectors
+from tallyforge.llm import langid, maxscore, packing, repeats, secrets, simhash, toxicity, vectors, warc
 from tallyforge.llm.common import crc_fold, stage, table
 
 QUERIES = {}
@@ -121,3 +121,34 @@ WITH usable AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(warc.classify(table(spark, sf_dir, "pages")))
+    records = warc.read_records(warc.normalise(archives))
+    revisit = F.col("record_type") == "revisit"
+    # A response is judged by what was read back, a revisit by what its headers say.
+    return records.select(
+        warc.page_number("record_id").alias("page_id"),
+        F.when(revisit, F.col("payload_bytes")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"),
+        F.when(revisit, F.col("payload_digest")).otherwise(F.sha1("payload")).alias("payload_digest"),
+        "record_type",
+        warc.page_number("refers_to").alias("refers_to"),
+    )
+
+
+ORACLE["op3_warc_normaliser"] = """
+WITH sized AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), records AS (
+    SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest
+    FROM sized
+), latest AS (
+    SELECT payload_digest, max(page_id) AS latest FROM records WHERE payload_bytes >= 1000 GROUP BY 1
+)
+SELECT r.page_id, r.payload_bytes, r.payload_digest,
+       CASE WHEN r.payload_bytes >= 1000 AND r.page_id <> l.latest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN r.payload_bytes >= 1000 AND r.page_id <> l.latest THEN l.latest END AS refers_to
+FROM records r LEFT JOIN latest l USING (payload_digest)
+"""
