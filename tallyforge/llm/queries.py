@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import langid, maxscore, packing, repeats, secrets, simhash, toxicity, vectors, warc
+from tallyforge.llm import langid, maxscore, packing, pieces, repeats, secrets, simhash, toxicity, vectors, warc
 from tallyforge.llm.common import crc_fold, stage, table
 
 QUERIES = {}
@@ -152,3 +152,22 @@ SELECT r.page_id, r.payload_bytes, r.payload_digest,
        CASE WHEN r.payload_bytes >= 1000 AND r.page_id <> l.latest THEN l.latest END AS refers_to
 FROM records r LEFT JOIN latest l USING (payload_digest)
 """
+
+
+def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
+    """A public SentencePiece model, read on the driver; about 0.5 MB."""
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+@query
+def op4_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_model()
+    found = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    text = F.coalesce("row.text", F.lit(""))
+    return pieces.decode(found, model).select(
+        "row.doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        (F.col("decoded") == text).alias("round_trip"),
+    )
