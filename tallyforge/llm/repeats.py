@@ -30,6 +30,7 @@ GRAM = 16
 CHUNK = 1 << 19
 GROUP_ROWS = 1 << 18
 SIDE_RANKS = (1 << 14) - 1
+STRINGS = 4096
 _POSITION = np.uint64((1 << 20) - 1)
 _ODD = 0x9E3779B97F4A7C15
 _ODD_2 = 0xD6E8FEB86659FD93
@@ -315,7 +316,8 @@ def _open_strings(length: int):
 
 def _repeated_strings(length: int):
     """Starts whose whole string came before in a smaller document, from rows by side and doc_id."""
-    first, second = SubstringHash(4 * CHUNK), SubstringHash(4 * CHUNK, _ODD_2, 11)
+    size = STRINGS * 2 * length  # a run has fewer starts than a string has bytes
+    first, second = SubstringHash(size), SubstringHash(size, _ODD_2, 11)
 
     def work(rows: list[tuple], seen: dict) -> tuple[list, list]:
         bodies = [r[3] for r in rows]
@@ -343,8 +345,8 @@ def _repeated_strings(length: int):
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("side", "doc_id", "place", "body")]
             rows = list(zip(*columns, strict=True))
-            for low in range(0, len(rows), 8192):
-                part = rows[low : low + 8192]
+            for low in range(0, len(rows), STRINGS):
+                part = rows[low : low + STRINGS]
                 docs, places = work(part, seen)
                 if part[-1][0] != now or len(seen) > 1 << 16:
                     now = part[-1][0]
