@@ -29,7 +29,6 @@ LETTERS = 27  # a to z, and 0 for anything else
 CHANNEL = {"same": 0.0, "lookalike": 2.0, "drop": 1.5}
 MAX_WORD = 64
 BEGINNINGS = (4, 5, 6)
-LONG_WORD = 9
 PRIOR = 10.0
 LEXICON_SHARE = 0.5
 BEGINNING_SHARE = 0.6
@@ -140,18 +139,21 @@ class Restorer:
 # ---------------------------------------------------------------- lexicon
 
 
-def _sketch(words: set[str]) -> int:
-    """The least hash among the longer words, which near copies nearly always share."""
-    return min((zlib.crc32(w.encode()) for w in [w for w in words if len(w) >= LONG_WORD] or words), default=0)
+def _sketch(text: str) -> int:
+    """The least hash among runs of three words, which near copies nearly always share."""
+    words = text.lower().split()
+    runs = zip(words, words[1:], words[2:]) if len(words) > 2 else [words]
+    return min(zlib.crc32(" ".join(run).encode()) for run in runs)
 
 
 def _features(costs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(costs)
         for batch in batches:
-            words = [restorer.words(raw.as_py().decode()) for raw in text_bytes(batch.column("text"))]
+            texts = [raw.as_py().decode() for raw in text_bytes(batch.column("text"))]
+            words = map(restorer.words, texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(map(_sketch, words), pa.int64()),
+                [batch.column("toxic"), pa.array(map(_sketch, texts), pa.int64()),
                  pa.array(map(sorted, words), pa.list_(pa.string()))],
                 ["toxic", "sketch", "words"],
             )
