@@ -9,7 +9,7 @@ all are certified, one partition is left, or a round saves nothing.
 
 from __future__ import annotations
 
-import os
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -23,54 +23,112 @@ from tallyforge.llm.common import byte_slices, small_batches, stage, text_bytes
 SIZE = 1024
 END_ID = 2
 PART_PIECES = 1 << 16
-CACHE_WORDS = 1 << 18
+SLICE_BYTES = 8 << 20
+
+
+# Fixed value: how a byte-level vocabulary of this kind parts a text before merging.
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_ranks(tokenizer_json: str) -> dict[bytes, int]:
+    """The ids of a byte-level vocabulary whose merges stand in the order of their ids."""
+    model = json.loads(tokenizer_json)["model"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain}
+    byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    vocab = model["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocab[a + b] for a, b in merges]
+    if ids != sorted(ids) or len(vocab) < len(ids) + 256:
+        raise ValueError("the merges of this vocabulary are not in the order of its ids")
+    used = [*byte_of, *(a + b for a, b in merges)]
+    return {bytes(byte_of[c] for c in token): vocab[token] for token in used}
 
 
 class Encoder:
     """Ids of whole texts; each distinct word of a slice is tokenised once.
 
     A byte-level vocabulary never joins bytes over a space that stands before an ASCII letter
-    or digit, so texts are parted there and the parts' ids are strung together.
+    or digit, nor an ASCII letter with what is neither letter nor digit after it, nor with what
+    is no letter, white space or apostrophe, or a lone line end, before it (all ASCII, and
+    accented Latin letters); texts are parted there and the parts' ids strung together. Special tokens' strings are ordinary text.
     """
 
     def __init__(self, tokenizer_json: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, words
-        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(new, found, strict=True))
-        return [self.known[w] for w in words]
+        import tiktoken
+
+        self.ids = tiktoken.Encoding(
+            "own", pat_str=WORD_PATTERN, mergeable_ranks=byte_ranks(tokenizer_json), special_tokens={}
+        ).encode_ordinary
+        (self.line,) = self.ids("\n")
+        letter, digit = np.zeros(256, bool), np.zeros(256, bool)
+        letter[[*range(65, 91), *range(97, 123)]] = True
+        digit[48:58] = True
+        self.letter, self.digit, self.accents = letter, digit, np.zeros(256, bool)
+        self.accents[0x80:0xC0] = True
+        self.accents[[0x97, 0xB7]] = False
+        ascii_code = np.arange(256) < 128
+        self.stops = ~letter & ~digit & ascii_code
+        self.starts = ~letter & ascii_code
+        self.starts[[*range(9, 14), 32, 39]] = False
+        self.solid = ascii_code.copy()
+        self.solid[[*range(9, 14), *range(28, 33)]] = False
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words one after another, and the number of each word's ids."""
+        # Words with white space but for one leading space would run into the separator.
+        odd = [i for i, w in enumerate(words) if w.split() != [w.removeprefix(" ")]]
+        strange = set(odd)
+        plain = [w for i, w in enumerate(words) if i not in strange] if odd else words
+        ids = np.array(self.ids("\n".join([*plain, ""])), np.uint32)
+        ends = np.flatnonzero(ids == self.line)
+        sizes = np.diff(ends, prepend=-1) - 1
+        ids = ids[ids != self.line]
+        if not odd:
+            return ids, sizes
+        other = [np.array(self.ids(words[i]), np.uint32) for i in odd]
+        all_sizes = np.zeros(len(words), np.int64)
+        regular = np.ones(len(words), bool)
+        regular[odd] = False
+        all_sizes[regular] = sizes
+        all_sizes[odd] = [len(o) for o in other]
+        out = np.empty(int(all_sizes.sum()), np.uint32)
+        of_regular = np.repeat(regular, all_sizes)
+        out[of_regular] = ids
+        out[~of_regular] = np.concatenate(other)
+        return out, all_sizes
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts (large binary), and where each text's ids end."""
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        ends = offsets[1:] - offsets[0]
-        alnum = np.zeros(256, bool)
-        alnum[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-        gaps = np.flatnonzero((data[:-1] == 32) & alnum[data[1:]]) if len(data) else np.zeros(0, np.int64)
-        cuts = np.unique(np.concatenate([[0], gaps, ends]))
+        bounds = offsets - offsets[0]
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        # Two bytes from 0xC3 on are accented letters, but for two signs.
+        accented = (data[:-1] == 0xC3) & self.accents[data[1:]]
+        begins, ends = self.letter[data], self.letter[data]
+        begins[:-1] |= accented
+        ends[1:] |= accented
+        cut = np.zeros(len(data) + 1, bool)
+        cut[:-2] = (data[:-1] == 32) & (self.digit[data[1:]] | begins[1:])
+        cut[1:-1] |= ends[:-1] & self.stops[data[1:]]
+        cut[1:-1] |= self.starts[data[:-1]] & begins[1:]
+        line = self.solid[data[:-2]] & (data[1:-1] == 10)
+        cut[2:-1] |= line & begins[2:]
+        cut[bounds] = True
+        cuts = np.flatnonzero(cut)
         words = pa.Array.from_buffers(
-            pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]
+            pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]
         ).dictionary_encode()
+        ids, sizes = self._words([w.decode() for w in words.dictionary.to_pylist()])
         codes = words.indices.to_numpy()
-        ids = self._words([w.decode() for w in words.dictionary.to_pylist()])
-        if not ids:
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = np.cumsum(sizes) - sizes
-        each = sizes[codes]
-        until = np.cumsum(each)
-        places = np.repeat(first[codes] - (until - each), each) + np.arange(until[-1])
-        return np.concatenate(ids)[places], np.append(0, until)[np.searchsorted(cuts, ends)]
+        each = sizes.astype(np.int32)[codes]
+        until = np.cumsum(each, dtype=np.int64)
+        shift = (np.cumsum(sizes) - sizes)[codes] - (until - each)
+        places = np.repeat(shift, each)
+        places += np.arange(len(places))
+        return ids[places], np.append(0, until)[np.searchsorted(cuts, bounds[1:])]
 
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<long>"
@@ -81,7 +139,7 @@ def _pieces(tokenizer_json: str, size: int, end_id: int, with_ids: bool):
         encoder = Encoder(tokenizer_json)
         for batch in batches:
             texts = text_bytes(batch.column("text"))
-            for low, high in byte_slices(texts):
+            for low, high in byte_slices(texts, SLICE_BYTES):
                 docs = batch.column("doc_id")[low:high].to_pylist()
                 ids, ends = encoder(texts[low:high])
                 yield _cut(docs, ids, ends, size, end_id, with_ids)
