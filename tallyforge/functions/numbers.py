@@ -7,7 +7,7 @@ the parser builds a whole expression in one call.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import DecimalType, FractionalType, IntegralType
 
 from tallyforge.functions.text import trim_unicode_sql
 
@@ -68,9 +68,13 @@ def whole_count_sql(value: str) -> str:
 
 
 def count_sql(df: DataFrame, name: str, strict: bool = True) -> str:
-    """Count of a measure column of any type; text is parsed, whole numbers are checked."""
-    whole = isinstance(df.schema[name].dataType, IntegralType)
-    count = whole_count_sql(name) if whole else parse_count_sql(name)
+    """Count of a measure column of any type; text is parsed, whole numbers are checked.
+
+    NaN in a floating column is a missing count, 0.
+    """
+    kind = df.schema[name].dataType
+    value = f"nanvl({name}, cast(null as double))" if isinstance(kind, FractionalType) and not isinstance(kind, DecimalType) else name
+    count = whole_count_sql(name) if isinstance(kind, IntegralType) else parse_count_sql(value)
     if not strict:
         return count
     message = f"concat('invalid count in {name}: ', cast({name} as string))"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from tallyforge import schema as S
 from tallyforge.functions.numbers import number_sql, round_sql
 from tallyforge.operators.reshape import one_row
-from tallyforge.runtime import in_parallel
+from tallyforge.operators.contracts import check_choice
+from tallyforge.runtime import in_parallel, materialize
 
 CLUSTER = "Cluster"
 AXES = ["PCA_1", "PCA_2"]
@@ -23,11 +26,7 @@ VECTOR = "_features"
 RAW_LABEL = "_label"
 MIN_SHARE = 0.05
 LARGEST_K = 6
-EXACT_POINTS = 20_000
-
-
-class TooManyPoints(ValueError):
-    """The quadratic silhouette was asked for more distinct points than it may hold."""
+BLOCK_POINTS = 50_000
 
 
 def scaled_names(features: list[str]) -> list[str]:
@@ -84,32 +83,52 @@ def relabel_sql(labels: list[int]) -> str:
 
 
 def euclidean_silhouette(
-    points: DataFrame, columns: list[str], label: str, limit: int = EXACT_POINTS
+    points: DataFrame, columns: list[str], label: str, block_points: int = BLOCK_POINTS
 ) -> float | None:
     """Mean silhouette with plain distances, over weighted distinct points.
 
-    The cost is quadratic, so the distinct points are counted first and refused above
-    ``limit``; within it they fit a small broadcast and no pair of rows is ever emitted.
+    The cost is quadratic in the distinct points and there is no limit to them. They are
+    taken in blocks of bounded size: a pass over all points adds up each point's distances
+    to one block per cluster, and no pair is ever emitted. For large tables
+    :func:`squared_silhouette` is linear, and a different number.
     """
-    weighted = points.groupBy(*columns, label).agg(F.count("*").alias("n"))
-    found = weighted.limit(limit + 1).toPandas()
-    if len(found) > limit:
-        raise TooManyPoints(
-            f"more than {limit} distinct points; use squared_silhouette, whose cost is linear"
-        )
-    labels = np.sort(found[label].unique())
-    if len(labels) < 2:
+    weighted = materialize(points.groupBy(*columns, label).agg(F.count("*").alias("n")), "points")
+    sizes = {r[0]: r[1] for r in weighted.groupBy(label).agg(F.sum("n")).collect()}
+    names = sorted(sizes)
+    if len(names) < 2:
         return None
-    codes = np.searchsorted(labels, found[label].to_numpy())
-    member = np.zeros((len(found), len(labels)))
-    member[np.arange(len(found)), codes] = found["n"]
-    shared = points.sparkSession.sparkContext.broadcast(
-        (found[columns].to_numpy(dtype=np.float64), member, labels)
-    )
+    blocks = max(1, math.ceil(weighted.count() / block_points))
+    block = F.pmod(F.xxhash64(*columns, label), F.lit(blocks))
+    sums = [f"_sum_{i}" for i in range(len(names))]
+    kinds = ", ".join([*(f"`{c}` double" for c in columns), "own int, n long", *(f"{s} double" for s in sums)])
+    passes = []
+    for number in range(blocks):
+        some = weighted.where(block == number).toPandas()
+        member = np.zeros((len(some), len(names)))
+        member[np.arange(len(some)), np.searchsorted(names, some[label].to_numpy())] = some["n"]
+        shared = points.sparkSession.sparkContext.broadcast(
+            (some[columns].to_numpy(dtype=np.float64), member)
+        )
+        passes.append(weighted.mapInPandas(_distance_sums(shared, columns, label, names, sums), kinds))
+    total = reduce(DataFrame.unionByName, passes)
+    if blocks > 1:
+        total = total.groupBy(*columns, "own", "n").agg(*[F.sum(s).alias(s) for s in sums])
+    size = F.element_at(F.array(*[F.lit(int(sizes[name])) for name in names]), F.col("own") + 1)
+    at = [F.col(s) / F.lit(int(sizes[name])) for s, name in zip(sums, names)]
+    others = [F.when(F.col("own") != i, mean) for i, mean in enumerate(at)]
+    inner = F.element_at(F.array(*[F.col(s) for s in sums]), F.col("own") + 1) / F.greatest(size - 1, F.lit(1))
+    outer = F.least(*others) if len(others) > 2 else F.coalesce(*others)
+    larger = F.greatest(inner, outer)
+    width = F.when((size > 1) & (larger > 0), (outer - inner) / larger).otherwise(0.0)
+    row = total.agg(F.sum(width * F.col("n")).alias("w"), F.sum("n").alias("n")).first()
+    return row.w / row.n
+
 
-    def widths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        others, weights, names = shared.value
-        sizes = weights.sum(axis=0)
+def _distance_sums(shared, columns: list[str], label: str, names: list, sums: list[str]):
+    """Each point's weighted distances to a block of points, summed per cluster."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        others, weights = shared.value
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.iloc[start : start + 256]
@@ -117,23 +136,14 @@ def euclidean_silhouette(
                 square = np.zeros((len(mine), len(others)))
                 for axis in range(mine.shape[1]):
                     square += (mine[:, axis, None] - others[None, :, axis]) ** 2
-                total = np.sqrt(square) @ weights
-                own = np.searchsorted(names, part[label].to_numpy())
-                rows = np.arange(len(part))
-                size = sizes[own]
-                inner = total[rows, own] / np.maximum(size - 1, 1)
-                means = total / sizes
-                means[rows, own] = np.inf
-                outer = means.min(axis=1)
-                larger = np.maximum(inner, outer)
-                width = np.where(larger > 0, (outer - inner) / np.where(larger > 0, larger, 1), 0.0)
-                width[size == 1] = 0.0
-                count = part["n"].to_numpy()
-                yield pd.DataFrame({"width": width * count, "n": count})
-
-    measured = weighted.mapInPandas(widths, "width double, n long")
-    row = measured.agg(F.sum("width").alias("w"), F.sum("n").alias("n")).first()
-    return row.w / row.n
+                out = pd.DataFrame(np.sqrt(square) @ weights, columns=sums)
+                for axis, column in enumerate(columns):
+                    out[column] = mine[:, axis]
+                out["own"] = np.searchsorted(names, part[label].to_numpy()).astype(np.int32)
+                out["n"] = part["n"].to_numpy()
+                yield out[[*columns, "own", "n", *sums]]
+
+    return run
 
 
 def squared_silhouette(vectors: DataFrame, label: str, vector: str = VECTOR) -> float:
@@ -146,18 +156,16 @@ def squared_silhouette(vectors: DataFrame, label: str, vector: str = VECTOR) ->
 
 
 def evaluate_k(
-    vectors: DataFrame, features: list[str], restarts: int = 30, seed: int = 42, metric: str = "auto"
+    vectors: DataFrame, features: list[str], restarts: int = 30, seed: int = 42, metric: str = "squared"
 ) -> DataFrame:
     """Silhouette and cluster sizes for k from 2 to 6; degenerate fits are left out.
 
-    ``metric`` is ``euclidean``, ``squared`` or ``auto``, which takes the Euclidean one
-    while the distinct points allow it. The row names the one used.
+    ``metric`` is ``squared``, whose cost is linear, or ``euclidean``, whose cost is quadratic,
+    at any size of the table. The row names the one used.
     """
     columns = scaled_names(features)
     rows_in = vectors.count()
-    if metric == "auto":
-        distinct = vectors.select(*columns).distinct().limit(EXACT_POINTS + 1).count()
-        metric = "euclidean" if distinct <= EXACT_POINTS else "squared"
+    check_choice(metric, ["squared", "euclidean"])
 
     def evaluate(k: int) -> tuple | None:
         model = fit_kmeans(vectors, k, restarts, seed)
@@ -223,21 +231,20 @@ def cluster_table(
     sweep_restarts: int = 30,
     final_restarts: int = 40,
     seed: int = 42,
-    metric: str = "auto",
+    metric: str = "squared",
 ) -> tuple[DataFrame, DataFrame, PipelineModel]:
     """Rows with cluster and axes, the metric document, and the fitted pipeline.
 
     ``df`` should be a stored table, it is read for every fit.
     """
     raw, _ = scaled_vectors(df, features, log=False)
-    raw_rows = evaluate_k(raw, features, sweep_restarts, seed, metric)
+    raw_rows = evaluate_k(materialize(raw, "raw_vectors"), features, sweep_restarts, seed, metric)
     vectors, scaler = scaled_vectors(df, features, log=True)
-    vectors = vectors.persist()
+    vectors = materialize(vectors, "log_vectors")
     log_rows = evaluate_k(vectors, features, sweep_restarts, seed, metric)
     k = choose_k(log_rows)
     kmeans = fit_kmeans(vectors, k, final_restarts, seed)
     axes, shares = fit_axes(vectors, features)
-    vectors.unpersist()
     finish = SQLTransformer(
         statement=f"SELECT *, {relabel_sql(canonical_labels(kmeans))} AS {CLUSTER}, "
         + ", ".join(f"{text} AS {name}" for text, name in zip(axes, AXES))
@@ -277,10 +284,14 @@ def cluster_metrics(
     """One-row metric document."""
 
     def listed(rows: DataFrame, name: str) -> DataFrame:
-        return rows.agg(F.sort_array(F.collect_list(F.struct(*_plain(rows)))).alias(name))
-
-    def _plain(rows: DataFrame) -> list[str]:
-        return [name for name, kind in rows.dtypes if not kind.startswith("map")]
+        """Rows in order of their first column; maps have no order and follow the rest."""
+        order = [n for n, kind in rows.dtypes if not kind.startswith("map")]
+        keyed = F.struct(F.struct(*order).alias("order"), F.struct(*rows.columns).alias("row"))
+        ranked = F.array_sort(
+            F.collect_list(keyed),
+            lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0),
+        )
+        return rows.agg(F.transform(ranked, lambda x: x["row"]).alias(name))
 
     profile = cluster_profile(clustered.where(F.col(CLUSTER).isNotNull()), features)
     parts = [
@@ -290,6 +301,11 @@ def cluster_metrics(
         listed(raw_rows, "diagnostic_brut"),
         listed(log_rows, "diagnostic_log1p"),
         listed(profile, "profils"),
+        profile.agg(
+            F.map_from_entries(
+                F.sort_array(F.collect_list(F.struct(F.col(CLUSTER).cast("string"), "taille")))
+            ).alias("taille_clusters")
+        ),
     ]
     shares_sql = "array(" + ", ".join(number_sql(share) for share in shares) + ")"
     return one_row(parts).withColumns(

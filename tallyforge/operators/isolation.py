@@ -22,7 +22,6 @@ from tallyforge.operators.quantiles import exact_quantiles
 from tallyforge.operators.reshape import long_rows, one_row
 from tallyforge.runtime import materialize
 
-POOL_ROWS = 200_000
 SWEEP = [0.03, 0.05, 0.08, 0.10, 0.15]
 ISOLATION = "_isolation"
 _TREE_SCHEMA = (
@@ -55,21 +54,21 @@ def expected_path(rows: int) -> float:
 
 
 def _draw_samples(df: DataFrame, features: list[str], key: str, rows: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """Rows per tree, about twice the sample size, chosen by hashes of the row key.
+    """Rows per tree, about twice the sample size, drawn for each tree from the whole table.
 
-    A big table is first thinned to a pool of bounded size, so later work does not grow
-    with it. Hashes make the draw repeatable when a task runs again.
+    A row draws trees by hashes of its key, so often that a tree is met by two samples of rows;
+    a table below that size goes to every tree whole. Hashes make the draw repeatable when
+    a task runs again.
     """
     chosen = df.selectExpr(key, *[f"cast({c} as double) as {c}" for c in features])
-    if rows > POOL_ROWS:
-        share = int(POOL_ROWS / rows * 2**40)
-        chosen = chosen.where(F.expr(f"pmod(xxhash64({key}, {seed}), {2**40}L) < {share}L"))
-    in_pool = min(rows, POOL_ROWS)
-    if in_pool <= 2 * sample:
+    if rows <= 2 * sample:
         tree = f"explode(sequence(0, {trees - 1}))"
     else:
-        draws = math.ceil(2 * sample * trees / in_pool)
-        picks = f"transform(sequence(1, {draws}), j -> cast(pmod(xxhash64({key}, {seed + 1}, j), {trees}) as int))"
+        rate = 2 * sample * trees / rows
+        draws = math.ceil(rate)
+        bar = int(rate / draws * 2**40)
+        hits = f"filter(sequence(1, {draws}), j -> pmod(xxhash64({key}, {seed}, j), {2**40}L) < {bar}L)"
+        picks = f"transform({hits}, j -> cast(pmod(xxhash64({key}, {seed + 1}, j), {trees}) as int))"
         tree = f"explode(array_distinct({picks}))"
     return chosen.selectExpr(key, *features, f"{tree} as tree").withColumn(
         "place", F.expr(f"xxhash64({key}, tree, {seed + 2})")
@@ -259,6 +258,9 @@ def anomaly_metrics(
             F.collect_list(F.struct("variable", round_half_even(F.col("seuil"), 3)))
         ).alias("seuils_regles")
     )
-    return one_row([counts, levels, steps, thresholds]).withColumn(
-        "contamination", F.lit(contamination)
+    return one_row([counts, levels, steps, thresholds]).withColumns(
+        {
+            "contamination": F.lit(contamination),
+            "variables": F.array(*(F.lit(name) for name in limits)),
+        }
     )

@@ -92,6 +92,10 @@ def histogram(
             continue
         ranges[c] = (low, high) if high > low else (low - 0.5, high + 0.5)
 
+    if not ranges:
+        return df.sparkSession.createDataFrame(
+            [], "variable string, bin long, borne_gauche double, borne_droite double, nombre long"
+        )
     entries = []
     for c, (low, high) in ranges.items():
         step = (high - low) / bins
@@ -143,6 +147,10 @@ def iqr_outliers(
         low, high = quartiles[c]
         if low is not None:
             bounds[c] = (low - factor * (high - low), high + factor * (high - low))
+    if not bounds:
+        return df.sparkSession.createDataFrame(
+            [], "variable string, borne_basse double, borne_haute double, nb_atypiques long, pourcentage double"
+        )
     wide = df.agg(
         F.expr("count(*) as _rows"),
         *[

@@ -18,15 +18,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 BINS = 1024
+INFINITY = float("inf")
 SMALL_RANGE = 65_536
 
 
 @dataclass(frozen=True)
 class Extent:
+    """Present values, the smallest and largest finite ones, and the infinite ones at both ends."""
+
     count: int
     low: float | int | None
     high: float | int | None
     whole: bool
+    below: int = 0
+    above: int = 0
 
 
 def _value(df: DataFrame, column: str) -> Column:
@@ -44,8 +49,10 @@ def extents(df: DataFrame, columns: list[str]) -> dict[str, Extent]:
         value = _value(df, column)
         aggregates += [
             F.count(value).alias(f"n{i}"),
-            F.min(value).alias(f"lo{i}"),
-            F.max(value).alias(f"hi{i}"),
+            F.min(_finite(df, column)).alias(f"lo{i}"),
+            F.max(_finite(df, column)).alias(f"hi{i}"),
+            F.count_if(value == -INFINITY).alias(f"below{i}"),
+            F.count_if(value == INFINITY).alias(f"above{i}"),
         ]
     row = df.agg(*aggregates).first()
     return {
@@ -54,17 +61,35 @@ def extents(df: DataFrame, columns: list[str]) -> dict[str, Extent]:
             row[f"lo{i}"],
             row[f"hi{i}"],
             isinstance(df.schema[column].dataType, T.IntegralType),
+            row[f"below{i}"],
+            row[f"above{i}"],
         )
         for i, column in enumerate(columns)
     }
 
 
+def _finite(df: DataFrame, column: str) -> Column:
+    value = _value(df, column)
+    if isinstance(df.schema[column].dataType, T.IntegralType):
+        return value
+    return F.when(F.abs(value) < INFINITY, value)
+
+
+def _place(value: Column, low: float | int, high: float | int) -> Column:
+    """Part of the way from ``low`` to ``high``; halves keep wide ranges within a double."""
+    if isinstance(low, int) and high - low < 2**62:
+        return (value - F.lit(low)).cast("double") / F.lit(float(high - low))
+    low, high, value = float(low), float(high), value.cast("double")
+    if math.isinf(high - low):
+        low, high, value = low / 2, high / 2, value / 2
+    return (value - F.lit(low)) / F.lit(high - low)
+
+
 def _histogram(df: DataFrame, intervals: list[tuple]) -> dict[int, list]:
     entries = []
     for slot, (column, low, high) in enumerate(intervals):
         value = _value(df, column)
-        width = float(high) - float(low)
-        place = F.floor((value - F.lit(low)).cast("double") / F.lit(width) * F.lit(float(BINS)))
+        place = F.floor(_place(value, low, high) * F.lit(float(BINS)))
         bin_number = F.least(place, F.lit(BINS - 1)).cast("int")
         entry = F.struct(
             F.lit(slot).alias("slot"), bin_number.alias("bin"), value.alias("value")
@@ -97,11 +122,17 @@ def order_statistics(
     known = known or extents(df, list(ranks))
     answers: dict[str, dict] = {column: {} for column in ranks}
     for whole in (True, False):
-        pending = [
-            (column, known[column].low, known[column].high, 0, sorted(set(wanted)))
-            for column, wanted in ranks.items()
-            if known[column].whole is whole and known[column].count and wanted
-        ]
+        pending = []
+        for column, wanted in ranks.items():
+            own = known[column]
+            if own.whole is not whole or not own.count:
+                continue
+            inside = own.count - own.above
+            answers[column].update({rank: -math.inf for rank in wanted if rank < own.below})
+            answers[column].update({rank: math.inf for rank in wanted if rank >= inside})
+            middle = sorted({rank for rank in wanted if own.below <= rank < inside})
+            if middle:
+                pending.append((column, own.low, own.high, own.below, middle))
         while pending:
             still_open = []
             for column, low, high, below, wanted in pending:
@@ -113,15 +144,24 @@ def order_statistics(
             if not still_open:
                 break
             found = _histogram(df, [(c, low, high) for c, low, high, _, _ in still_open])
-            for slot, (column, _, _, below, wanted) in enumerate(still_open):
+            for slot, (column, lowest, highest, below, wanted) in enumerate(still_open):
                 for _, size, low, high in found[slot]:
                     inside = [rank for rank in wanted if below <= rank < below + size]
                     if inside:
+                        if (low, high) == (lowest, highest):
+                            raise ArithmeticError(f"no progress between {low} and {high} in {column}")
                         pending.append((column, low, high, below, inside))
                     below += size
     return answers
 
 
+def _between(low: float, high: float, part: float) -> float:
+    """Linear interpolation; between equal neighbours, infinite ones too, the neighbour."""
+    if low == high or part == 0:
+        return low
+    return low + (high - low) * part if math.isfinite(high - low) else low * (1 - part) + high * part
+
+
 def exact_quantiles(
     df: DataFrame, columns: list[str], probabilities: list[float]
 ) -> dict[str, list[float | None]]:
@@ -153,8 +193,7 @@ def exact_quantiles(
     for column, places in positions.items():
         at_rank = values[column]
         quantiles[column] = [
-            float(at_rank[math.floor(at)])
-            + (float(at_rank[math.ceil(at)]) - float(at_rank[math.floor(at)])) * (at - math.floor(at))
+            _between(float(at_rank[math.floor(at)]), float(at_rank[math.ceil(at)]), at - math.floor(at))
             for at in places
         ]
     empty: list[float | None] = [None] * len(probabilities)

@@ -7,11 +7,12 @@ never a group of rows in one task.
 
 from __future__ import annotations
 
-import math
+from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from tallyforge.functions.numbers import round_half_even, round_sql
 from tallyforge.operators.quantiles import Extent, extents
@@ -22,39 +23,30 @@ from tallyforge.schema import PROFILE_MEASURES
 BROADCAST_VALUES = 100_000
 HOT_VALUES = 1_000
 SALTS = 1_024
-MAX_BUCKETS = 4_096
 ARRAY_RANGE = 4_096
+ROW = "_row"
 
 
-def _value_ranks(counts: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """Average rank of each distinct value, running counts cut into ordered buckets."""
-    largest = max(sizes.values(), default=0)
-    buckets = min(MAX_BUCKETS, math.ceil(largest / BROADCAST_VALUES))
-    if buckets > 1:
-        cuts = [i / buckets for i in range(1, buckets)]
-        bounds = counts.groupBy("variable").agg(
-            F.percentile_approx("value", cuts, 10 * buckets).alias("bounds")
-        )
-        placed = counts.join(F.broadcast(bounds), "variable").withColumn(
-            "bucket", F.size(F.filter("bounds", lambda b: b <= F.col("value")))
-        ).drop("bounds")
-    else:
-        placed = counts.withColumn("bucket", F.lit(0))
-    within = Window.partitionBy("variable", "bucket").orderBy("value")
-    running = placed.withColumn("upto", F.sum("n").over(within))
-    earlier = Window.partitionBy("variable").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1
+def _value_ranks(counts: DataFrame) -> DataFrame:
+    """Average rank of each distinct value from running counts within ranges of values.
+
+    Spark cuts the distinct values into as many ranges as it has shuffle partitions, so no
+    window grows with a variable; only the ranges' sums are ordered among each other.
+    """
+    ranged = materialize(
+        counts.repartitionByRange("variable", "value").withColumn("part", F.spark_partition_id()),
+        "value_ranges",
     )
+    within = Window.partitionBy("variable", "part").orderBy("value")
+    earlier = Window.partitionBy("variable").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("variable", "bucket")
+        ranged.groupBy("variable", "part")
         .agg(F.sum("n").alias("n"))
-        .select("variable", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+        .select("variable", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     )
+    running = ranged.withColumn("upto", F.sum("n").over(within))
     rank = F.col("before") + F.col("upto") - (F.col("n") - 1) / 2
-    # At most MAX_BUCKETS rows per variable.
-    return running.join(F.broadcast(offsets), ["variable", "bucket"]).select(
-        "variable", "value", "n", rank.alias("rank")
-    )
+    return running.join(offsets, ["variable", "part"]).select("variable", "value", "n", rank.alias("rank"))
 
 
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,12 +67,15 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
         row.variable: row.n
         for row in counts.groupBy("variable").agg(F.count("*").alias("n")).collect()
     }
-    ranks = materialize(_value_ranks(counts, sizes), "value_ranks")
+    ranks = materialize(_value_ranks(counts), "value_ranks")
     by_position = [
         c for c in columns if known[c].count and known[c].whole and known[c].high - known[c].low <= ARRAY_RANGE
     ]
     lookups = _position_lookups(ranks, by_position, known)
     total = df.count()
+    if any(c not in lookups and sizes.get(c, 0) > BROADCAST_VALUES for c in columns):
+        # A stored number per row spreads hot rows, whatever they hold.
+        df = materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered_rows")
     for c in columns:
         found = ranks.where(F.col("variable") == c).select(
             F.col("value").alias(c), F.col("rank").alias(f"rank_{c}"), "n"
@@ -118,7 +113,7 @@ def _join_many_values(df: DataFrame, found: DataFrame, c: str, total: int) -> Da
         c, F.col(f"rank_{c}").alias("hot_rank")
     )
     cold = found.drop("n").withColumn("salt", F.lit(0))
-    spread = 1 + F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+    spread = 1 + F.pmod(F.xxhash64(ROW), F.lit(SALTS)).cast("int")
     marked = df.join(F.broadcast(hot), c, "left").withColumn(
         "salt", F.when(F.col("hot_rank").isNull(), F.lit(0)).otherwise(spread)
     )
@@ -129,13 +124,47 @@ def _join_many_values(df: DataFrame, found: DataFrame, c: str, total: int) -> Da
     )
 
 
-def spearman(df: DataFrame, columns: list[str] = PROFILE_MEASURES) -> DataFrame:
-    """Rank correlation of every pair of columns, as (i, j, variable_1, variable_2, rho)."""
+def _rank_matrix(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float]:
     ranked = average_ranks(df, columns)
     vectors = VectorAssembler(inputCols=columns, outputCol="ranks").transform(ranked)
     matrix = Correlation.corr(vectors.select("ranks"), "ranks", "pearson").first()[0].toArray()
+    return {(a, b): float(matrix[i, j]) for i, a in enumerate(columns) for j, b in enumerate(columns)}
+
+
+def spearman(df: DataFrame, columns: list[str] = PROFILE_MEASURES) -> DataFrame:
+    """Rank correlation of every pair of columns, as (i, j, variable_1, variable_2, rho).
+
+    A pair is ranked over the rows that have both values; NaN is a missing one. Columns
+    without gaps share one ranking, and one that has gaps is ranked with all of them over its own
+    rows, so only pairs of columns with gaps cost a ranking each. Without rows rho is NaN.
+    """
+    whole = {c: isinstance(df.schema[c].dataType, IntegralType) for c in columns}
+    df = df.selectExpr(
+        *[c if whole[c] else f"nanvl(cast({c} as double), cast(null as double)) as {c}" for c in columns]
+    )
+    pairs = list(combinations(columns, 2))
+    row = df.agg(
+        F.count("*").alias("rows"),
+        *[F.count(c).alias(c) for c in columns],
+    ).first()
+    full = [c for c in columns if row[c] == row.rows]
+    gaps = [c for c in columns if row[c] < row.rows]
+    both = [p for p in pairs if p[0] in gaps and p[1] in gaps]
+    shared = (
+        df.agg(*[F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n{i}") for i, (a, b) in enumerate(both)]).first()
+        if both
+        else ()
+    )
+    rho: dict[tuple[str, str], float] = {}
+    groups = [(full, row.rows)] if full else []
+    groups += [([c, *full], row[c]) for c in gaps]
+    groups += [(list(p), n) for p, n in zip(both, shared, strict=True)]
+    for group, rows in groups:
+        if rows:
+            found = _rank_matrix(df.select(*group).dropna(), group)
+            rho.update({k: v for k, v in found.items() if k not in rho})
     rows = [
-        (i, j, a, b, float(matrix[i, j]))
+        (i, j, a, b, rho.get((a, b), float("nan")))
         for i, a in enumerate(columns)
         for j, b in enumerate(columns)
     ]

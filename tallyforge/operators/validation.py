@@ -15,7 +15,7 @@ from tallyforge.functions.numbers import round_sql
 from tallyforge.operators.folds import FOLD, period_folds, shuffled_folds
 from tallyforge.operators.regressors import PREDICTION, Fitter
 from tallyforge.operators.reshape import one_row
-from tallyforge.runtime import broadcast_if_small, in_parallel, materialize
+from tallyforge.runtime import in_parallel, materialize
 
 ACTUAL = "Valeur_reelle"
 PREDICTED = "Prediction_CV"
@@ -153,21 +153,24 @@ def dense_index(df: DataFrame, column: str = "_index") -> DataFrame:
         "coalesce(sum(_size) over (order by _part rows between unbounded preceding and 1 preceding), 0) as _before",
     )
     within = "_id - shiftleft(_part, 33)"
-    return numbered.join(broadcast_if_small(offsets), "_part").withColumn(column, F.expr(f"_before + {within}")).drop(
+    return numbered.join(offsets, "_part").withColumn(column, F.expr(f"_before + {within}")).drop(
         "_id", "_part", "_before"
     )
 
 
 def permutation_importance(
-    df: DataFrame, model: PipelineModel, features: list[str] = S.MODEL_FEATURES, target: str = S.TARGET, repeats: int = 20, seed: int = 42
+    df: DataFrame, model: PipelineModel, features: list[str] = S.MODEL_FEATURES, target: str = S.TARGET, repeats: int = 20, seed: int = 42, key: str = S.RECORD_ID
 ) -> DataFrame:
     """Mean increase of the absolute error when one feature is shuffled, largest first.
 
     Row *i* takes the feature from row ``(a * i + b) mod n`` with ``a`` prime to ``n``,
-    after the rows were put in hash order. One join per repeat brings all features of the
+    after the rows were put in the order of a hash of ``key``, which tells rows with the same
+    values apart. One join per repeat brings all features of the
     partner row at once, and every feature is then swapped in on its own.
     """
-    spread = df.select(*features, target).withColumn("_order", F.expr(f"xxhash64(*, {seed})"))
+    if key not in df.columns:
+        df = materialize(df.withColumn(key, F.monotonically_increasing_id()), "identified")
+    spread = df.select(*features, target, F.expr(f"xxhash64({key}, {seed}) as _order"))
     rows = materialize(dense_index(spread.repartitionByRange("_order")).drop("_order"), "indexed")
     size = rows.count()
     shifts = [_affine(size, seed, repeat) for repeat in range(repeats)]

@@ -4,7 +4,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.functions.numbers import parse_count, round_half_even
+from tallyforge.functions.numbers import count_sql, parse_count, round_half_even
 from tallyforge.functions.text import normalize_label, trim_unicode, truthy_sql
 
 
@@ -67,3 +67,8 @@ def test_trim_and_booleans(spark):
     found = rows.select(trim_unicode(F.col("x")), F.expr(truthy_sql("x"))).collect()
     assert found[0][0] == "TRUE"
     assert [r[1] for r in found] == [True, True, True, False, False]
+
+
+def test_missing_counts_in_floating_columns(spark):
+    rows = spark.createDataFrame([(float("nan"),), (None,), (2.5,), (3.0,)], "n double")
+    assert [r[0] for r in rows.selectExpr(f"{count_sql(rows, 'n')} as n").collect()] == [0, 0, 2, 3]

@@ -49,12 +49,15 @@ def test_forest_is_repeatable_and_contamination_sets_the_share(spark):
         assert row.nombre_anomalies_ml == math.ceil(row.contamination * 1499)
 
 
-def test_big_tables_are_thinned_to_a_bounded_pool(spark, monkeypatch):
-    monkeypatch.setattr(isolation, "POOL_ROWS", 2000)
-    rows = spark.range(20000).selectExpr("cast(id as string) as id", "cast(id % 97 as double) as a")
-    drawn = isolation._draw_samples(rows, ["a"], "id", 20000, 10, 64, 42)
-    sizes = [r["count"] for r in drawn.groupBy("tree").count().collect()]
-    assert len(sizes) == 10 and min(sizes) >= 64 and sum(sizes) < 4000
+@pytest.mark.parametrize("rows", [100, 20_000, 300_000])
+def test_every_row_can_reach_a_tree(spark, rows):
+    """One draw at any size: about two samples a tree, from all parts of the table."""
+    table = spark.range(rows).selectExpr("cast(id as string) as id", "cast(id as double) as a")
+    drawn = isolation._draw_samples(table, ["a"], "id", rows, 10, 64, 42)
+    found = drawn.groupBy("tree").agg(F.count("*").alias("n"), F.max("a").alias("top")).collect()
+    assert len(found) == 10 and min(r.n for r in found) >= 64 and max(r.n for r in found) <= 200
+    if rows > 1000:
+        assert len({r.top for r in found}) > 5 and min(r.top for r in found) > 0.8 * rows
 
 
 def shape_rows(spark):
@@ -70,6 +73,10 @@ def test_cluster_table(spark):
     row = metrics.first()
     assert row.transformation == "log1p + StandardScaler"
     assert row.variance_pca_expliquee[0] == pytest.approx(1.0)
+    assert sum(row.taille_clusters.values()) == 40 and list(row.taille_clusters) == sorted(row.taille_clusters)
+    for listed in (row.diagnostic_brut, row.diagnostic_log1p):
+        assert [r.k for r in listed] == sorted(r.k for r in listed)
+        assert all(sum(r.tailles_clusters.values()) == 40 for r in listed)
     sizes = [r["count"] for r in out.groupBy("Cluster").count().orderBy("Cluster").collect()]
     assert sum(sizes) == 40 and sizes == sorted(sizes, reverse=True)
     path = scratch_path(spark, "clusters")
@@ -99,8 +106,18 @@ def test_euclidean_silhouette_matches_brute_force(spark):
     rows = spark.createDataFrame(pd.DataFrame({"x": points[:, 0], "y": points[:, 1], "label": labels}))
     found = clustering.euclidean_silhouette(rows, ["x", "y"], "label")
     assert found == pytest.approx(brute_silhouette(points, labels))
-    with pytest.raises(clustering.TooManyPoints):
-        clustering.euclidean_silhouette(rows, ["x", "y"], "label", limit=5)
+    in_blocks = clustering.euclidean_silhouette(rows, ["x", "y"], "label", block_points=9)
+    assert in_blocks == pytest.approx(found)
+
+
+def test_metric_does_not_depend_on_the_size(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "BLOCK_POINTS", 10)
+    vectors, _ = clustering.scaled_vectors(shape_rows(spark), S.CLUSTER_FEATURES, log=True)
+    few = clustering.evaluate_k(vectors.limit(12), S.CLUSTER_FEATURES, restarts=1)
+    many = clustering.evaluate_k(vectors, S.CLUSTER_FEATURES, restarts=1)
+    assert {r.metrique_silhouette for r in few.collect() + many.collect()} == {"squared"}
+    with pytest.raises(ValueError):
+        clustering.evaluate_k(vectors, S.CLUSTER_FEATURES, metric="auto")
 
 
 def test_choice_of_k(spark):
@@ -211,3 +228,11 @@ def test_scoring(spark, model_rows):
     row = scored.first()
     assert (row.n, row.annee, row.modele) == (1, "2026-S1", "Ridge") and row.resultats_def_estimes >= 0
     assert rejected.count() == 1
+
+
+def test_equal_rows_do_not_share_a_place(spark):
+    """Importance orders rows by their id's hash, so equal rows do not meet in one task."""
+    rows = spark.range(40_400).selectExpr("cast(id as string) as id", "if(id < 40000, 0, id) as a")
+    placed = rows.select(F.expr("xxhash64(id, 42) as _order")).repartitionByRange(8, "_order")
+    sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * 40_400 / 8

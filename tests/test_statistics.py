@@ -113,3 +113,53 @@ def test_severity_levels(spark):
     assert [r.Niveau_anomalie for r in levels.collect()] == (
         ["Élevée"] + ["Faible"] * 4 + ["Moyenne"] * 3 + ["Élevée"] * 2
     )
+
+
+def test_quantiles_with_infinite_values_and_wide_ranges(spark):
+    inf = float("inf")
+    data = {
+        "ends": [-inf, 1.0, 2.0, 3.0, inf],
+        "range": [-1.5e308, -1.0, 0.0, 1.0, 1.5e308],
+        "tiny": [0.0, 5e-324, 1e-323, 1e-323, 5e-324],
+        "longs": [-(2**63), -5, 0, 2**62, 2**63 - 1],
+    }
+    ranks_of = {name: list(range(5)) for name in data}
+    found = order_statistics(frame(spark, **data), ranks_of)
+    for name, values in data.items():
+        assert [found[name][i] for i in range(5)] == sorted(values)
+    quartiles = exact_quantiles(frame(spark, **data), ["ends"], [0.0, 0.25, 0.5, 1.0])["ends"]
+    assert quartiles == [-inf, 1.0, 2.0, inf]
+    assert exact_quantiles(frame(spark, a=[inf, inf, inf]), ["a"], [0.3]) == {"a": [inf]}
+
+
+def test_reports_of_columns_without_values(spark):
+    rows = spark.createDataFrame([], "a double, b long")
+    assert profile.histogram(rows, ["a", "b"]).collect() == []
+    assert profile.iqr_outliers(rows, ["a", "b"]).collect() == []
+
+
+def test_spearman_ranks_each_pair_over_its_own_rows(spark):
+    data = pd.DataFrame(random_columns()).drop(columns="wide").head(300).astype(float)
+    rng = np.random.default_rng(5)
+    data["gaps"] = data["heavy"].where(rng.random(300) < 0.6)
+    data["more"] = (data["hot"] + data["whole"]).where(rng.random(300) < 0.4)
+    data["none"] = np.nan
+    found = ranks.spearman(frame(spark, **data), list(data.columns)).toPandas()
+    matrix = found.pivot(index="i", columns="j", values="rho").to_numpy()
+    assert matrix == pytest.approx(data.corr("spearman").to_numpy(), abs=1e-12, nan_ok=True)
+
+
+def test_hot_equal_rows_spread(spark, monkeypatch):
+    """Rows that are equal throughout land on many salts and in no single partition."""
+    monkeypatch.setattr(ranks, "BROADCAST_VALUES", 50)
+    monkeypatch.setattr(ranks, "ARRAY_RANGE", 0)
+    values = np.append(np.zeros(20_000), np.arange(200) + 0.5)
+    rows = ranks.materialize(
+        frame(spark, a=values).withColumn(ranks.ROW, F.monotonically_increasing_id()), "rows"
+    )
+    ranked = spark.createDataFrame([(0.0, 10_000.5, 20_000)], "a double, rank_a double, n long")
+    spread = 1 + F.pmod(F.xxhash64(ranks.ROW), F.lit(ranks.SALTS))
+    sizes = [r["count"] for r in rows.where("a = 0").repartition(8, "a", spread).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * 20_000 / 8
+    joined = ranks._join_many_values(rows, ranked, "a", len(values))
+    assert joined.where("rank_a = 10000.5").count() == 20_000 and joined.count() == len(values)
