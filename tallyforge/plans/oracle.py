@@ -472,7 +472,7 @@ def build() -> dict[str, str]:
     square = " + ".join(f"(p.z{i} - o.z{i}) * (p.z{i} - o.z{i})" for i in range(6))
     points = f"""points as (select row_number() over (order by "Record_ID") as id, "Total_saisines" % 3 as label, {zs} from clean),
       sizes as (select label, count(*) as n from points group by label)"""
-    sqls["c3_euclidean_silhouette"] = f"""with {COARSE_CLEAN}, {points},
+    sqls["c3_euclidean_silhouette"] = f"""with {FINE_CLEAN}, {points},
       dist as (select p.id, p.label, o.label as other, sum(sqrt({square})) as d from points p, points o group by 1, 2, 3),
       sides as (select id, max(case when dist.label = other then d / greatest(n - 1, 1) end) as a,
                   min(case when dist.label <> other then d / n end) as b,
@@ -530,4 +530,26 @@ def build() -> dict[str, str]:
       union all select 'profil_clusters', count(distinct cluster) from serving
       union all select 'anomalies', least(500, count(*)) from serving where est_anomalie
       union all select 'ecarts', count(*) from recon where "Total_detail" <> "Total_officiel" """
+    sqls["v1_required_columns"] = f"""with {FINE} select count(*) as lignes, true as complet_accepte, false as incomplet_accepte from cells"""
+    sqls["v3_parameter_bounds"] = f"""with {FINE_CLEAN}, n as (select count(*) as n from clean)
+      select limite::bigint as limite, limite between 1 and 1000 as accepte,
+        case when limite between 1 and 1000 then least(limite, n) else 0 end::bigint as lignes
+      from n, (select unnest([0, 1, 1000, 1001]) as limite)"""
+    sqls["v2_scoring_split"] = f"""with {FINE_CLEAN}, given as (select ordinal,
+        coalesce(case when ordinal % 5 = 0 then null else "Annee" end, '2026-S1') as "Annee",
+        case when ordinal % 13 = 0 then null else "Categorie" end as "Categorie",
+        coalesce(case when ordinal % 11 = 0 then -1 when ordinal % 7 = 0 then null else "Saisine_FD" end, 0)::bigint as "Saisine_FD"
+        from clean)
+      select *, "Categorie" is not null and "Saisine_FD" >= 0 as valide from given"""
+    given = {"l_quantity": "case when l_linenumber <> 1 then l_quantity end", "l_extendedprice": "l_extendedprice",
+             "l_discount": "case when l_linenumber % 3 <> 2 then l_discount end", "l_tax": "l_tax"}
+    ranked = lambda c: f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0"
+    parts = [
+        f"""select '{a}' as variable_1, '{b}' as variable_2, {"1.0::double" if a == b else rnd("corr(x, y)", 6)} as rho
+        from (select {ranked(a)} as x, {ranked(b)} as y from given where {a} is not null and {b} is not null)"""
+        for a in given for b in given
+    ]
+    sqls["a19_spearman_gaps"] = f"with given as (select {', '.join(f'{v} as {k}' for k, v in given.items())} from lineitem) " + " union all ".join(
+        p if "corr" in p else f"select '{a}' as variable_1, '{a}' as variable_2, 1.0::double as rho" for p, a in zip(parts, [a for a in given for _ in given])
+    )
     return sqls

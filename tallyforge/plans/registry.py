@@ -26,7 +26,7 @@ from tallyforge.operators.cleaning import (
     or_default_text,
     resolve_normalised,
 )
-from tallyforge.operators.contracts import with_scoring_defaults
+from tallyforge.operators.contracts import require_columns, split_scoring_input, with_scoring_defaults
 from tallyforge.operators.documents import flatten_results
 from tallyforge.operators.ranks import correlation_table, spearman, strongest_pairs
 from tallyforge.operators.regressors import PREDICTION
@@ -42,8 +42,9 @@ from tallyforge.sources.tables import StageMissing, load_serving_table, read_pre
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-# Model sizes of the registered queries; the functions' defaults are larger.
-MODEL_TREES = 100
+# Trees of the registered isolation forests.
+MODEL_TREES = 400
+SWEEP_TREES = 300
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -179,6 +180,58 @@ def s8_listing_export(spark, sf_dir):
     return spark.read.schema(rows.schema).csv(path, header=True, emptyValue="").na.fill("")
 
 
+def _accepted(check: Callable, *given, **named) -> bool:
+    try:
+        check(*given, **named)
+    except ValueError:
+        return False
+    return True
+
+
+@query
+def v1_required_columns(spark, sf_dir):
+    rows = cells.fine_cells(spark, sf_dir)
+    whole = _accepted(require_columns, rows, [S.PERIOD, S.CATEGORY, *S.MEASURES])
+    without = _accepted(require_columns, rows.drop(S.CATEGORY), [S.PERIOD, S.CATEGORY, *S.MEASURES])
+    return rows.agg(F.count("*").alias("lignes")).select(
+        "lignes", F.lit(whole).alias("complet_accepte"), F.lit(without).alias("incomplet_accepte")
+    )
+
+
+@query
+def v3_parameter_bounds(spark, sf_dir):
+    """Listing sizes at and beyond the bounds, and known and unknown filters."""
+    served = materialize(fine_serving(spark, sf_dir), "serving")
+    parts = []
+    for limit in (0, 1, 1000, 1001):
+        allowed = _accepted(serve.listing, served, limit=limit)
+        shown = serve.listing(served, limit=limit) if allowed else served.limit(0)
+        parts.append(
+            shown.agg(F.count("*").alias("lignes")).select(
+                F.lit(limit).cast("long").alias("limite"), F.lit(allowed).alias("accepte"), "lignes"
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _scoring_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col(cells.ORDINAL)
+    return cells.fine_cells(spark, sf_dir).select(
+        cells.ORDINAL,
+        F.when(key % 5 != 0, F.col(S.PERIOD)).alias("annee"),
+        F.when(key % 13 != 0, F.col(S.CATEGORY)).alias("categorie"),
+        F.when(key % 11 == 0, -1).when(key % 7 != 0, F.col("Saisine_FD")).alias("saisine_fd"),
+    )
+
+
+@query
+def v2_scoring_split(spark, sf_dir):
+    valid, rejected = split_scoring_input(_scoring_input(spark, sf_dir))
+    valid = valid.select(cells.ORDINAL, S.PERIOD, S.CATEGORY, "Saisine_FD", F.lit(True).alias("valide"))
+    rejected = rejected.select(cells.ORDINAL, "annee", "categorie", "saisine_fd", F.lit(False)).toDF(*valid.columns)
+    return valid.unionByName(rejected)
+
+
 @query
 def v2_scoring_contract(spark, sf_dir):
     key = F.col(cells.ORDINAL)
@@ -366,18 +419,13 @@ def j2_gap_matrix(spark, sf_dir):
 def j3_union_diagnostics(spark, sf_dir):
     rows = fine_clean(spark, sf_dir)
 
-    def means(name: str, log: bool) -> DataFrame:
+    def means(log: bool) -> DataFrame:
         wide = rows.agg(*[F.avg(F.log1p(c) if log else F.col(c)).alias(c) for c in S.CLUSTER_FEATURES])
-        return long_rows(
-            wide,
-            [],
-            [
-                {"transformation": f"'{name}'", "variable": f"'{c}'", "moyenne": round_sql(c, 6)}
-                for c in S.CLUSTER_FEATURES
-            ],
-        )
+        entries = [{"variable": f"'{c}'", "moyenne": round_sql(c, 6)} for c in S.CLUSTER_FEATURES]
+        return long_rows(wide, [], entries)
 
-    return means("brut", False).unionByName(means("log1p", True))
+    found = clustering.compare_transformations(means(False), means(True))
+    return found.select("transformation", "variable", "moyenne")
 
 
 @query
@@ -542,6 +590,22 @@ def a19_spearman_lines(spark, sf_dir):
     return correlation_table(spearman(cells.read(spark, sf_dir, "lineitem"), LINE_COLUMNS))
 
 
+def lines_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line measures, two of them with gaps in different rows."""
+    line = F.col("l_linenumber")
+    return cells.read(spark, sf_dir, "lineitem").select(
+        F.when(line != 1, F.col("l_quantity")).alias("l_quantity"),
+        "l_extendedprice",
+        F.when(line % 3 != 2, F.col("l_discount")).alias("l_discount"),
+        "l_tax",
+    )
+
+
+@query
+def a19_spearman_gaps(spark, sf_dir):
+    return correlation_table(spearman(lines_with_gaps(spark, sf_dir), LINE_COLUMNS))
+
+
 @query
 def a20_strongest_pairs(spark, sf_dir):
     return strongest_pairs(spearman(stored_fine(spark, sf_dir, *S.PROFILE_MEASURES)))
@@ -657,7 +721,7 @@ def r8_severity_levels(spark, sf_dir):
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = stored_fine(spark, sf_dir, S.RECORD_ID, *S.ANOMALY_FEATURES)
-    forest = isolation.fit_forest(stored, trees=MODEL_TREES)
+    forest = isolation.fit_forest(stored, trees=SWEEP_TREES)
     score = isolation.isolation_score(spark, forest)
     return materialize(stored.select(S.RECORD_ID, score.alias(isolation.ISOLATION)), "scored")
 
@@ -723,7 +787,7 @@ def c2_kmeans(spark, sf_dir):
 
 @query
 def c3_euclidean_silhouette(spark, sf_dir):
-    stored = materialize(coarse_clean(spark, sf_dir).select(*S.CLUSTER_FEATURES), "coarse_cells")
+    stored = stored_fine(spark, sf_dir, *S.CLUSTER_FEATURES)
     points = _scaled(stored).withColumn("label", F.col("Total_saisines") % 3)
     width = clustering.euclidean_silhouette(points, clustering.scaled_names(S.CLUSTER_FEATURES), "label")
     return spark.range(1).select(round_half_even(F.lit(width), 6).alias("silhouette"))
@@ -933,7 +997,7 @@ def m15_prediction_table(spark, sf_dir):
 @query
 def m16_permutation_importance(spark, sf_dir):
     rows = stored_model_rows(spark, sf_dir)
-    return validation.permutation_importance(rows, regressors.fit_ridge(rows), repeats=3)
+    return validation.permutation_importance(rows, regressors.fit_ridge(rows), repeats=20)
 
 
 @query

@@ -52,6 +52,13 @@ def in_parallel(spark: SparkSession, work: Callable, items: Iterable, threads: i
         return list(pool.map(inheritable_thread_target(spark)(work), items))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, asked of Hadoop's file system."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)
+
+
 class RollingState:
     """Keeps the state of an iterative job in two alternating shared folders.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tallyforge.runtime import materialize
 
@@ -15,13 +15,31 @@ ROW_INDEX = "row_index"
 _RAW = "_raw_line"
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
+def read_delimited(
+    spark: SparkSession, path: str, sep: str = ";", line_ends_in_quotes: bool = False
+) -> DataFrame:
     """Scan with every field as text; short lines are padded, over-long lines left out.
 
     The reader marks both kinds as corrupt, so over-long ones are told apart by the
-    number of separators outside quotes. ``row_index`` is the 0-based position among the
-    kept lines of the folder or file.
+    number of separators outside quotes; :func:`rejected_lines` returns them.
+    ``row_index`` is the 0-based position among the kept lines of the folder or file. Quoted
+    fields may hold line ends with ``line_ends_in_quotes``; a file is then read by one task.
     """
+    rows, names, too_long = _scan(spark, path, sep, line_ends_in_quotes)
+    numbered = _with_row_index(rows.where(~too_long))
+    cells = [F.when(~F.col(c).isin(MISSING_SPELLINGS), F.col(c)).alias(c) for c in names]
+    return numbered.select(*cells, ROW_INDEX)
+
+
+def rejected_lines(
+    spark: SparkSession, path: str, sep: str = ";", line_ends_in_quotes: bool = False
+) -> DataFrame:
+    """(file, line): the over-long lines that :func:`read_delimited` leaves out."""
+    rows, _, too_long = _scan(spark, path, sep, line_ends_in_quotes)
+    return rows.where(too_long).select(F.col("_metadata.file_path").alias("file"), F.col(_RAW).alias("line"))
+
+
+def _scan(spark: SparkSession, path: str, sep: str, multiline: bool) -> tuple[DataFrame, list[str], Column]:
     names = spark.read.csv(path, sep=sep, header=True, encoding="UTF-8").columns
     names = [name.lstrip("\ufeff") for name in names]
     fields = [T.StructField(name, T.StringType()) for name in [*names, _RAW]]
@@ -34,13 +52,11 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
         columnNameOfCorruptRecord=_RAW,
         quote='"',
         escape='"',
+        multiLine=multiline,
     )
     unquoted = F.regexp_replace(F.col(_RAW), '"(?:[^"]|"")*"', "")
     separators = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit("")))
-    kept = rows.where(F.col(_RAW).isNull() | (separators < len(names)))
-    numbered = _with_row_index(kept)
-    cells = [F.when(~F.col(c).isin(MISSING_SPELLINGS), F.col(c)).alias(c) for c in names]
-    return numbered.select(*cells, ROW_INDEX)
+    return rows, names, F.col(_RAW).isNotNull() & (separators >= len(names))
 
 
 def _with_row_index(rows: DataFrame) -> DataFrame:

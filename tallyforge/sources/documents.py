@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyforge.runtime import exists
 from tallyforge.sources.tables import StageMissing
 
 
@@ -15,7 +15,6 @@ def write_document(df: DataFrame, path: str) -> None:
 
 
 def read_document(spark: SparkSession, path: str, message: str) -> DataFrame:
-    try:
-        return spark.read.json(path, multiLine=True)
-    except AnalysisException as error:
-        raise StageMissing(f"{message} ({path})") from error
+    if not exists(spark, path):
+        raise StageMissing(f"{message} ({path})")
+    return spark.read.json(path, multiLine=True)

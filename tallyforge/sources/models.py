@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
-from py4j.protocol import Py4JJavaError
+from pyspark.sql import SparkSession
 
+from tallyforge.runtime import exists
 from tallyforge.sources.tables import StageMissing
 
 
@@ -14,7 +14,6 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str, message: str = "model not prepared") -> PipelineModel:
-    try:
-        return PipelineModel.load(path)
-    except (PySparkException, Py4JJavaError) as error:
-        raise StageMissing(f"{message} ({path})") from error
+    if not exists(SparkSession.active(), path):
+        raise StageMissing(f"{message} ({path})")
+    return PipelineModel.load(path)

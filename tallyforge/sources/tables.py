@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyforge.runtime import exists
+
 
 class StageMissing(FileNotFoundError):
     """A stage was asked to run, or a result to be read, before it was prepared."""
 
 
 def read_prepared(spark: SparkSession, path: str, message: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        raise StageMissing(f"{message} ({path})") from error
+    """A stored stage; only its absence is a :class:`StageMissing`, other errors pass."""
+    if not exists(spark, path):
+        raise StageMissing(f"{message} ({path})")
+    return spark.read.parquet(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
