@@ -49,7 +49,9 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 def in_parallel(spark: SparkSession, work: Callable, items: Iterable, threads: int = 4) -> list:
     """Submit independent Spark jobs from a few driver threads; results keep their order."""
     with ThreadPoolExecutor(threads) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(work), items))
+        # Each job is wrapped on its own: a wrapper carries one set of local properties.
+        jobs = [pool.submit(inheritable_thread_target(spark)(work), item) for item in items]
+        return [job.result() for job in jobs]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
