@@ -36,7 +36,9 @@ def rejected_lines(
 ) -> DataFrame:
     """(file, line): the over-long lines that :func:`read_delimited` leaves out."""
     rows, _, too_long = _scan(spark, path, sep, line_ends_in_quotes)
-    return rows.where(too_long).select(F.col("_metadata.file_path").alias("file"), F.col(_RAW).alias("line"))
+    # The reader refuses to parse a line for nothing but itself, so the rows are stored whole.
+    found = rows.where(too_long).select("*", F.col("_metadata.file_path").alias("_file"))
+    return materialize(found, "rejected").select(F.col("_file").alias("file"), F.col(_RAW).alias("line"))
 
 
 def _scan(spark: SparkSession, path: str, sep: str, multiline: bool) -> tuple[DataFrame, list[str], Column]:

@@ -4,7 +4,7 @@ from pyspark.errors import SparkRuntimeException
 from tallyforge import schema as S
 from tallyforge.operators.cleaning import clean, clean_with_quarantine
 from tallyforge.operators.contracts import check_choice, check_limit, split_scoring_input
-from tallyforge.sources.delimited import ROW_INDEX, read_delimited, write_csv
+from tallyforge.sources.delimited import ROW_INDEX, read_delimited, rejected_lines, write_csv
 
 
 def raw_row(spark, **changes):
@@ -112,3 +112,12 @@ def test_parameter_bounds():
             check_limit(limit, 1000)
     with pytest.raises(ValueError, match="plaintes"):
         check_choice("x", ["plaintes"])
+
+
+def test_line_ends_in_quotes_and_rejected_lines(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('a;b\n1;"x\ny"\n2;z\n3;4;5\n', encoding="utf-8")
+    rows = read_delimited(spark, str(path), line_ends_in_quotes=True).orderBy(ROW_INDEX).collect()
+    assert [(r.a, r.b) for r in rows] == [("1", "x\ny"), ("2", "z")]
+    rejected = rejected_lines(spark, str(path), line_ends_in_quotes=True).collect()
+    assert [r.line for r in rejected] == ["3;4;5"] and rejected[0].file.endswith("quoted.csv")
