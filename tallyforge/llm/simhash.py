@@ -260,5 +260,5 @@ def near_duplicates(docs: DataFrame, size: int = 3, limit: int = MAX_BITS) -> Da
     a fingerprint and have the component of its other rows, or none. Repeated rows stay.
     """
     prints = stage(fingerprints(docs, size), "fingerprints")
-    groups = link(prints, limit)
+    groups = stage(link(prints, limit), "groups")  # stored, so that a hot fingerprint's join can be split
     return prints.join(groups, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
