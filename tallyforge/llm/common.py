@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyforge.runtime import scratch_path
 
 # Arrow batches of whole texts hold about this much; a longer text has a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 SLICE_BYTES = 4 << 20
 
 

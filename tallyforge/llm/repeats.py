@@ -370,7 +370,7 @@ def spans_of(places: list[int], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in merged]
 
 
-def _cut(length: int):
+def _cut(length: int, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
@@ -385,10 +385,10 @@ def _cut(length: int):
                     parts.append(raw[at:start])
                     at = stop
                 spans.append([{"start": a, "stop": b} for a, b in found])
-                kept.append(b"".join([*parts, raw[at:]]))
-            yield pa.RecordBatch.from_arrays(
-                [row, pa.array(spans, kind), pa.array(kept, pa.binary())], ["row", "spans", "kept"]
-            )
+                rest = b"".join([*parts, raw[at:]])
+                kept.append(rest.decode(errors="ignore") if as_text else rest)
+            column = pa.array(kept, pa.string() if as_text else pa.binary())
+            yield pa.RecordBatch.from_arrays([row, pa.array(spans, kind), column], ["row", "spans", "kept"])
 
     return run
 
@@ -431,9 +431,11 @@ def repeated_places(docs: DataFrame, length: int = 50) -> DataFrame:
     return found.groupBy("doc_id", tag).agg(F.collect_list("place").alias("places"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, as_text: bool = False) -> DataFrame:
     """(row, spans, kept): every row of ``docs`` as a struct, its removed byte spans, its rest.
 
+    The rest is bytes, or with ``as_text`` a string, without characters that have lost a byte.
+
     Each byte of a string of ``length`` bytes that also starts in a document with a smaller
     doc_id is removed. A null text is an empty one; rows without doc_id neither lose bytes nor
     cover others. An empty table gives an empty result; other columns stay in ``row``.
@@ -447,17 +449,8 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         [
             T.StructField("row", docs.schema),
             T.StructField("spans", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "stop")]))),
-            T.StructField("kept", T.BinaryType()),
+            T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
         ]
     )
-    return joined.mapInArrow(_cut(length), schema)
-
-
-def whole_characters(kept: str):
-    """The rest of a text as a string; what removal has left of a split character goes."""
-
-    def run(kept: pa.Array) -> pa.Array:
-        texts = [None if raw is None else raw.decode(errors="ignore") for raw in kept.to_pylist()]
-        return pa.array(texts, pa.string())
+    return joined.mapInArrow(_cut(length, as_text), schema)
 
-    return F.arrow_udf(run, "string")(kept)
