@@ -41,8 +41,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: repeated strings of 50 bytes go; a character that loses a byte goes whole."""
-    found = repeats.remove_repeats(docs, length=50)
-    rest = F.when(F.size("spans") > 0, repeats.whole_characters("kept")).otherwise(F.col("row.text"))
+    found = repeats.remove_repeats(docs, length=50, as_text=True)
+    rest = F.when(F.size("spans") > 0, F.col("kept")).otherwise(F.col("row.text"))
     return _with_text(found, docs.columns, rest)
 
 
