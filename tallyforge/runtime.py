@@ -32,7 +32,21 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/tallyforge/{uuid.uuid4().hex}/{name}"
+    return f"{_own_scratch(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/tallyforge/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every stage that this application has stored.
+
+    For when a result has been written: frames that still read a stage break.
+    """
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -62,3 +62,15 @@ def test_listing_takes_the_top_rows_and_prunes_columns(spark):
     plan = registry.QUERIES["a4_statistics_by_period"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "o_custkey" not in plan
     assert "TakeOrderedAndProject" in registry.QUERIES["o1_listing"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scratch_is_cleared_for_this_application_alone(spark):
+    from tallyforge.runtime import clear_scratch, exists, materialize, scratch_root
+
+    kept = f"{scratch_root(spark)}/tallyforge/another-application/x"
+    spark.range(3).write.parquet(kept)
+    stored = materialize(spark.range(5), "rows")
+    path = stored.inputFiles()[0]
+    assert exists(spark, path)
+    clear_scratch(spark)
+    assert not exists(spark, path) and exists(spark, kept)
