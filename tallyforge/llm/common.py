@@ -32,7 +32,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    stored = spark.read.schema(schema).parquet(path)
+    stored._stage_path = path
+    return stored
+
+
+def discard(*stages: DataFrame) -> None:
+    """Delete stages that no later frame reads."""
+    for stored in stages:
+        remove(stored.sparkSession, stored._stage_path)
 
 
 def release(spark: SparkSession) -> None:

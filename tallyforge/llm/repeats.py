@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tallyforge.llm.common import byte_slices, small_batches, stage, text_bytes
+from tallyforge.llm.common import byte_slices, discard, small_batches, stage, text_bytes
 
 GRAM = 16
 CHUNK = 1 << 19
@@ -428,7 +428,9 @@ def repeated_places(docs: DataFrame, length: int = 50) -> DataFrame:
         "repeated",
     )
     found = settled.where("left < 0").select("doc_id", "place").unionByName(repeated)
-    return found.groupBy("doc_id", tag).agg(F.collect_list("place").alias("places"))
+    places = stage(found.groupBy("doc_id", tag).agg(F.collect_list("place").alias("places")), "places")
+    discard(settled, repeated)
+    return places
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, as_text: bool = False) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tallyforge.llm.common import byte_slices, crc_fold, small_batches, stage, text_bytes
+from tallyforge.llm.common import byte_slices, crc_fold, discard, small_batches, stage, text_bytes
 
 # What a look-alike symbol may stand for.
 LOOKALIKES = {
@@ -232,12 +232,10 @@ def fit(docs: DataFrame, labelled: DataFrame, limit: int = LABELLED_ROWS) -> Mod
         .select("toxic", "sketch", "begin").distinct()
         .groupBy("begin").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("pos"))
     )
-    return Model(
-        costs,
-        _significant(counts, "word", base, PRIOR, LEXICON_SHARE, bar),
-        _significant(with_begin, "begin", base, PRIOR, BEGINNING_ROWS, bar),
-        base,
-    )
+    words = _significant(counts, "word", base, PRIOR, LEXICON_SHARE, bar)
+    beginnings = _significant(with_begin, "begin", base, PRIOR, BEGINNING_ROWS, bar)
+    discard(rows, counts)
+    return Model(costs, words, beginnings, base)
 
 
 def _score(model: Model):

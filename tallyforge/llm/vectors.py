@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tallyforge.llm.common import stage
+from tallyforge.llm.common import discard, stage
 from tallyforge.llm.components import connected_components
 from tallyforge.llm.simhash import _hook
 
@@ -174,6 +174,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, block: int = BLOCK) ->
         dealt.groupBy("turn", "at_block").applyInArrow(_compare(threshold), "a long, b long, links long"),
         "compared",
     )
+    discard(words, ranked)
     links = compared.groupBy("a").agg(F.sum("links").alias("links"))
     found = connected_components(compared.select("a", "b"))
     by_class = (
