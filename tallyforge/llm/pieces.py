@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tallyforge.llm.common import small_batches, stage, text_bytes
 
 MARK = "▁"
-CHUNK = 16_384
+CHUNK = 65_536
 BLOCK = 64
 START = 0  # the state before a document's first piece
 _WORD = re.compile(f"(?<!{MARK}){MARK}")
@@ -339,9 +339,9 @@ def _encode_whole(model: bytes):
 def encode_chunks(texts: DataFrame, model: bytes, size: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """(key, ids) of ``texts`` (key, text) by the scan over chunks; keys are unique."""
     small_batches(texts.sparkSession)
-    chunks = stage(texts.mapInArrow(_split(model, size), _CHUNK_SCHEMA), "chunks")
-    spread = chunks.repartition("key", "chunk")
-    cells = stage(spread.mapInArrow(_matrices(model), f"key long, chunk long, cells {CELLS}"), "matrices")
+    split = texts.mapInArrow(_split(model, size), _CHUNK_SCHEMA)
+    chunks = stage(split.repartition("key", "chunk"), "chunks")
+    cells = stage(chunks.mapInArrow(_matrices(model), f"key long, chunk long, cells {CELLS}"), "matrices")
     cells = cells.withColumn("block", F.floor(F.col("chunk") / block))
     products = cells.groupBy("key", "block").applyInArrow(_multiply, f"key long, block long, cells {CELLS}")
     outer = products.groupBy("key").applyInArrow(_resolve("block"), "key long, block long, entry int, leave int")
