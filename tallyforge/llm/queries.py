@@ -171,3 +171,50 @@ def op4_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
         (F.col("decoded") == text).alias("round_trip"),
     )
+
+
+ORACLE["op2_embedding_dedup"] = """
+WITH RECURSIVE good AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+      AND len([x FOR x IN embedding IF x <> 0]) > 0
+), pairs AS (
+    SELECT a.vec_id AS x, b.vec_id AS y
+    FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+    SELECT vec_id AS x, vec_id AS y FROM embeddings
+    UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x
+)
+SELECT e.vec_id, (SELECT count(*) FROM pairs WHERE x = e.vec_id) AS n_links,
+       r.component_id, e.vec_id = r.component_id AS kept
+FROM embeddings e JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = e.vec_id
+"""
+
+# A text as hexadecimal digits: byte p (from 0) is the two digits from 2 * p + 1 on.
+ORACLE["op8_suffix_dedup"] = """
+WITH texts AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), bytes AS (
+    SELECT doc_id, h, unnest(range(len(h) // 2)) AS p FROM texts
+), strings AS (
+    SELECT doc_id, p, CASE WHEN p + 50 <= len(h) // 2 THEN md5(substr(h, 2 * p + 1, 100)) END AS s,
+           substr(h, 2 * p + 1, 2) AS b
+    FROM bytes
+), marked AS (
+    SELECT doc_id, p, b, s IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY s) AS hit FROM strings
+), covered AS (
+    SELECT doc_id, p, b,
+           bool_or(hit) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+    FROM marked
+), edges AS (
+    SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY p) AS opens FROM covered
+), cut AS (
+    SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+           coalesce(string_agg(b, '' ORDER BY p) FILTER (NOT gone), '') AS kept
+    FROM edges GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM texts t LEFT JOIN cut c USING (doc_id)
+"""
