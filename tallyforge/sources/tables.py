@@ -32,15 +32,19 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def load_serving_table(
-    df: DataFrame, table: str, force: bool = False, path: str | None = None
+    df: DataFrame, table: str, force: bool = False, path: str | None = None, partition_by: str | None = "annee"
 ) -> int:
     """Fill a catalog table; a filled one stays untouched unless forced. Returns its size.
 
-    ``path`` places the files outside the warehouse folder.
+    ``path`` places the files outside the warehouse folder. The table is partitioned by the
+    column that the served queries filter on, where it has it, so a filter reads one folder.
     """
     spark = df.sparkSession
     filled = spark.catalog.tableExists(table) and not spark.table(table).isEmpty()
     if force or not filled:
         placed = {"path": path} if path else {}
+        if partition_by in df.columns:
+            placed["partitionBy"] = partition_by
+            df = df.hint("rebalance", partition_by)
         df.write.mode("overwrite").saveAsTable(table, **placed)
     return spark.table(table).count()

@@ -116,3 +116,12 @@ def test_flatten(spark):
     assert flatten_results(nested).first().asDict() == {
         "modele": "m", "kfold_mae": 1.0, "kfold_r2": 2.0, "periode_mae": 3.0, "mae_entrainement": 4.0,
     }
+
+
+def test_served_filters_read_one_partition(spark):
+    rows = spark.range(60).selectExpr("id", "cast(2020 + id % 3 as string) as annee")
+    assert load_serving_table(rows, "partition_test") == 60
+    found = spark.table("partition_test").where("annee = '2021'")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(annee" in plan and found.count() == 20
+    spark.sql("drop table partition_test")
