@@ -24,6 +24,7 @@ CLUSTER = "Cluster"
 AXES = ["PCA_1", "PCA_2"]
 VECTOR = "_features"
 RAW_LABEL = "_label"
+# The least share of a cluster, the field names of the sweep and of the document.
 MIN_SHARE = 0.05
 LARGEST_K = 6
 BLOCK_POINTS = 50_000

@@ -9,6 +9,7 @@ from tallyforge.functions.text import truthy_sql
 from tallyforge.operators.contracts import check_choice, check_limit
 from tallyforge.schema import ALL_VALUES, LEVEL_NORMAL, SERVING_COLUMNS
 
+# The metrics that may be ranked, and the output names below.
 TOP_METRICS = {
     "plaintes_directes": "saisine_plaintes_directes",
     "victimes": "total_victimes",
