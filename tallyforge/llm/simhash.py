@@ -129,7 +129,7 @@ def blocks(distinct: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
     )
 
 
-def _hook(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+def hook(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
     """Join the groups of linked members; label ends at each group's first member."""
     while True:
         a, b = label[left], label[right]
@@ -202,7 +202,7 @@ def _link_sorted(limit: int):
         label = np.arange(len(code))
         index = GrayIndex(code.astype(np.int64).view(np.uint64), np.flatnonzero(fresh))
         for left, right in index.links(limit):
-            _hook(label, left, right)
+            hook(label, left, right)
         moved = np.flatnonzero(label != np.arange(len(code)))
         return pa.RecordBatch.from_arrays(
             [pa.array(node[moved]), pa.array(node[label[moved]])], ["a", "b"]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyforge.llm.common import discard, stage
 from tallyforge.llm.components import connected_components
-from tallyforge.llm.simhash import _hook
+from tallyforge.llm.simhash import hook
 
 BITS = 48
 BLOCK = 1024
@@ -101,7 +101,7 @@ def _compare(threshold: float):
                 a, b = rows[some[a]], rows[others[b]]
                 once = ~own[b] | (node[a] < node[b])
                 a, b = a[once], b[once]
-                _hook(label, a, b)
+                hook(label, a, b)
                 fresh = ~(np.abs(places[a, :turn] - places[b, :turn]) <= 1).any(axis=1)
                 np.add.at(links, a[fresh], copies[b[fresh]])
                 np.add.at(links, b[fresh], copies[a[fresh]])
