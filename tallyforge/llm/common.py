@@ -22,16 +22,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage to the shared folder, read it back and let go of what made it.
+    """Write a stage to the shared folder and read it back.
 
-    Shuffle files go when the driver's references do, so the driver is asked to collect them;
-    else the disk would hold the shuffles of all stages at once.
+    Shuffle files go when the driver's references do, so the driver is asked to collect them
+    before each stage; else the disk would hold the shuffles of all stages at once.
     """
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, name)
+    release(spark)  # what the stage before has shuffled: its caller has let go of it by now
     df.write.mode("overwrite").parquet(path)
-    del df
-    release(spark)
     stored = spark.read.schema(schema).parquet(path)
     stored._stage_path = path
     return stored
