@@ -1,9 +1,9 @@
-"""Embedding near duplicates by sorted projection passes.
+"""Embedding near duplicates by exact comparison of block against block.
 
-In each pass every vector gets a word of random hash bits (signs of projections), and the
-vectors are ordered lexicographically by these words. Close vectors share long prefixes in
-some pass, so each is compared, exactly, with a bounded window of neighbours in each order.
-Links of all passes are united; a pair that an earlier pass has compared is not counted again.
+The distinct vectors are dealt at random into groups of bounded size, and every two groups
+meet in one task. There the vectors are put in blocks around pivots; two blocks whose centres
+and angles show that no pair can reach the threshold are dropped, all others are compared in
+double precision. A task only reports counts of links and a spanning set of them.
 """
 
 from __future__ import annotations
@@ -13,18 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tallyforge.llm.common import discard, stage
+from tallyforge.llm.common import stage
 from tallyforge.llm.components import connected_components
 from tallyforge.llm.simhash import hook
 
-BITS = 48
 BLOCK = 1024
+# Fewest groups that the vectors are dealt into, and how many numbers a group may hold.
+LEAST_DEALS = 8
+GROUP_VALUES = 1 << 22
 LEAST_PASSES = 16
 MISSED = 1e-3
-SEED = 20
 
 
 def passes_for(count: int, threshold: float, block: int = BLOCK, missed: float = MISSED) -> int:
@@ -37,27 +37,6 @@ def passes_for(count: int, threshold: float, block: int = BLOCK, missed: float =
     return LEAST_PASSES if meet >= 1 else max(LEAST_PASSES, math.ceil(math.log(missed) / math.log1p(-meet)))
 
 
-def _hash_words(passes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        weights = 1 << np.arange(BITS, dtype=np.int64)[::-1]
-        for batch in batches:
-            nodes, turns, words = [], [], []
-            for size, rows, matrix in _by_size(batch.column("vector")):
-                if size not in planes:
-                    planes[size] = np.random.default_rng([SEED, size]).standard_normal((size, passes * BITS))
-                signs = (matrix @ planes[size] > 0).reshape(len(rows), passes, BITS)
-                words.append((signs @ weights).ravel())
-                nodes.append(np.repeat(batch.column("node").to_numpy()[rows], passes))
-                turns.append(np.tile(np.arange(passes), len(rows)))
-            if nodes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in (nodes, turns, words)], ["node", "turn", "word"]
-                )
-
-    return run
-
-
 def _by_size(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, row numbers, unit vectors in double precision) for each length of vector."""
     sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
@@ -69,42 +48,62 @@ def _by_size(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield size, rows, matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, at = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        rows = len(batch)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), batch.column("turn"), pa.array(np.full(rows, part, np.int64)),
-             pa.array(np.arange(at, at + rows))],
-            ["node", "turn", "part", "at"],
-        )
-        at += rows
-
-
-def _compare(threshold: float):
+def _blocks(matrix: np.ndarray, block: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(row numbers, centre, largest angle from it) of blocks of unit vectors that lie close."""
+    pivots = matrix[:: max(1, block // 4)]
+    nearest = np.concatenate(
+        [(matrix[i : i + block] @ pivots.T).argmax(axis=1) for i in range(0, len(matrix), block)]
+    )
+    order, out = np.argsort(nearest, kind="stable"), []
+    for low in range(0, len(order), block):
+        rows = order[low : low + block]
+        centre = matrix[rows].mean(axis=0)
+        length = np.linalg.norm(centre)
+        if length < 1e-6:
+            out.append((rows, matrix[rows[0]], math.pi))
+            continue
+        centre /= length
+        out.append((rows, centre, math.acos(max(-1.0, min(1.0, float((matrix[rows] @ centre).min()))))))
+    return out
+
+
+def _may_meet(left: list, right: list, threshold: float) -> np.ndarray:
+    """Whether some pair of two blocks can reach the threshold, by the triangle of angles."""
+    centres = np.stack([c for _, c, _ in left]) @ np.stack([c for _, c, _ in right]).T
+    reach = np.array([r for _, _, r in left])[:, None] + np.array([r for _, _, r in right])
+    return np.arccos(np.clip(centres, -1, 1)) - reach <= math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+
+
+def _compare(threshold: float, block: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        turn, block = group.column("turn")[0].as_py(), group.column("at_block")[0].as_py()
         node = group.column("node").to_numpy()
         copies = group.column("copies").to_numpy()
-        own = group.column("block").to_numpy() == block
-        places = np.stack(group.column("blocks").to_pylist())
+        deal = group.column("deal").to_numpy()
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
         links, label = np.zeros(len(node), np.int64), np.arange(len(node))
         column = group.column("vector").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         for _, rows, matrix in _by_size(column):
-            home, rest = np.flatnonzero(own[rows]), np.flatnonzero(~own[rows])
-            for low in range(0, len(home), 256):
-                some = home[low : low + 256]
-                others = np.concatenate([home, rest])
-                a, b = np.nonzero(matrix[some] @ matrix[others].T >= threshold)
-                a, b = rows[some[a]], rows[others[b]]
-                once = ~own[b] | (node[a] < node[b])
-                a, b = a[once], b[once]
-                hook(label, a, b)
-                fresh = ~(np.abs(places[a, :turn] - places[b, :turn]) <= 1).any(axis=1)
-                np.add.at(links, a[fresh], copies[b[fresh]])
-                np.add.at(links, b[fresh], copies[a[fresh]])
+            sides = [np.flatnonzero(deal[rows] == d) for d in (low, high)]
+            if not all(map(len, sides)):
+                continue
+            left, right = ([(s[i], c, r) for i, c, r in _blocks(matrix[s], block)] for s in sides)
+            for i, j in np.argwhere(_may_meet(left, right, threshold)).tolist():
+                if low == high and j < i:
+                    continue
+                some, others = left[i][0], right[j][0]
+                hits = matrix[some] @ matrix[others].T >= threshold
+                if low == high and i == j:
+                    hits = np.triu(hits, 1)
+                if not hits.any():
+                    continue
+                a, b = rows[some], rows[others]
+                # Nodes are distinct within a side, so plain indexing adds each once.
+                links[a] += hits @ copies[b]
+                links[b] += copies[a] @ hits
+                x, y = np.nonzero(hits & (label[a][:, None] != label[b]))
+                hook(label, a[x], b[y])
         moved = np.flatnonzero((label != np.arange(len(node))) | (links > 0))
         return pa.table(
             {"a": node[moved], "b": node[label[moved]], "links": links[moved]},
@@ -127,9 +126,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, block: int = BLOCK) ->
     Vectors are linked from a cosine of ``threshold`` on, in double precision. Equal vectors
     are compared once and linked to each other. Vectors that are null, empty, zero, or hold
     null or non-finite components are alone, as are those of different lengths. A row without
-    vec_id has no component of its own: it takes part under the largest number. What
-    a vector is compared with in a pass is bounded, so of groups of far more than ``block``
-    different vectors, links (not components) may be missed; tests measure the recall.
+    vec_id has no component of its own: it takes part under the largest number. Every pair is
+    compared or excluded by the angles of its blocks of ``block`` vectors, so counts and
+    components are whole; the work grows with the square of the vectors that lie close.
     """
     ids = F.coalesce(F.col("vec_id").cast("long"), F.lit((1 << 63) - 1)).alias("vec_id")
     table = rows.select(ids, F.col("vec_id").isNull().alias("unnamed"), F.col("embedding").alias("vector"))
@@ -139,42 +138,20 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, block: int = BLOCK) ->
         ),
         "vectors",
     )
-    count = classes.count()
-    passes = passes_for(count, threshold, block)
-    words = stage(
-        classes.mapInArrow(_hash_words(passes), "node long, turn long, word long"), "words"
-    )
-    order = ["turn", "word", "node"]
-    ranked = stage(
-        words.repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInArrow(_number, "node long, turn long, part long, at long"),
-        "order",
-    )
-    # A row per partition: where its first vector stands in the order of all passes.
-    sizes = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
-    spark, before, starts = rows.sparkSession, 0, []
-    for part, n in sizes:
-        starts.append((part, before))
-        before += n
-    starts = spark.createDataFrame(starts, "part long, before long")
-    place = F.floor((F.col("before") + F.col("at") - F.col("turn") * count) / block).cast("int")
-    blocks = (
-        ranked.join(F.broadcast(starts), "part")
-        .groupBy("node")
-        .agg(F.array_sort(F.collect_list(F.struct("turn", place.alias("block")))).alias("b"))
-        .select("node", F.col("b.block").alias("blocks"))
-    )
-    dealt = (
-        classes.join(blocks, "node")
-        .select("*", F.posexplode("blocks").alias("turn", "block"))
-        .select("*", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("at_block"))
-        .where("at_block >= 0")
+    count, width = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    deals = max(LEAST_DEALS, math.ceil(count / max(BLOCK, GROUP_VALUES // width)))
+    deal = F.pmod(F.xxhash64("node"), F.lit(deals))
+    tiles = F.transform(
+        F.sequence(F.lit(0), F.lit(deals - 1)),
+        lambda d: F.struct(F.least("deal", d).alias("low"), F.greatest("deal", d).alias("high")),
     )
+    dealt = classes.withColumn("deal", deal).select("*", F.inline(tiles))
     compared = stage(
-        dealt.groupBy("turn", "at_block").applyInArrow(_compare(threshold), "a long, b long, links long"),
+        dealt.groupBy("low", "high").applyInArrow(
+            _compare(threshold, block), "a long, b long, links long"
+        ),
         "compared",
     )
-    discard(words, ranked)
     links = compared.groupBy("a").agg(F.sum("links").alias("links"))
     found = connected_components(compared.select("a", "b"))
     by_class = (

@@ -85,3 +85,18 @@ def test_awkward_vectors(spark):
 def test_passes_grow_with_the_table():
     few, many = vectors.passes_for(1000, 0.9), vectors.passes_for(10**8, 0.9)
     assert few == vectors.LEAST_PASSES < many
+
+
+def test_dense_group_of_many_blocks_is_whole(spark):
+    """All pairs of 900 vectors in 57 blocks of 16, and every link between two such groups."""
+    rng = np.random.default_rng(11)
+    center = rng.standard_normal(32)
+    dense = center + 0.15 * rng.standard_normal((900, 32))
+    rest = rng.standard_normal((200, 32))
+    matrix = np.concatenate([dense, rest]).astype(np.float32).astype(np.float64)
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    want = ((unit @ unit.T >= 0.9).sum(axis=1) - 1).tolist()
+    got = found(spark, list(enumerate(matrix.tolist())), block=16)
+    assert max(want) >= 800
+    assert [got[i][0] for i in range(len(want))] == want
+    assert all(got[i][1] == 0 for i in range(900))
