@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ LOOKALIKES = {
 }
 LETTERS = 27  # a to z, and 0 for anything else
 CHANNEL = {"same": 0.0, "lookalike": 2.0, "drop": 1.5}
+# Longer spellings are not kept for the next time, and are also read as several words.
 MAX_WORD = 64
 BEGINNINGS = (4, 5, 6)
 PRIOR = 10.0
@@ -40,10 +42,14 @@ LABELLED_ROWS = 20_000
 KNOWN_WORDS = 1 << 18
 THRESHOLD = 0.7
 
-_ODD = re.compile(r"[a-z].*[0-9@$!|+(€*]|[0-9@$!|+(€*].*[a-z]|([a-z])\1\1")
+_LETTER = re.compile(r"[a-z]")
+_SYMBOL = re.compile(r"[0-9@$!|+(€*]")
+_REPEAT = re.compile(r"([a-z])\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ ._*-]+[^\s._*-]){2,}(?!\S)")
 _EDGES = re.compile(r"^[^\w@$]+|[^\w@$!]+$")
 _GAPS = re.compile(r"[ ._*-]+")
+# What joins words: all but letters and look-alikes, or look-alike symbols too.
+_JOINTS = (re.compile(r"[^\w@$!|+(€*]+|_+"), re.compile(r"[\W_]+"))
 
 
 def code_of(letter: str) -> int:
@@ -80,15 +86,22 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     return -np.log(counts / counts.sum(axis=2, keepdims=True))
 
 
-def decode(word: str, costs: list) -> str:
+def odd(word: str) -> bool:
+    """Whether a spelling mixes letters with look-alike symbols or repeats a letter."""
+    return bool(_REPEAT.search(word) or (_SYMBOL.search(word) and _LETTER.search(word)))
+
+
+def decode(word: str, costs: list, breaks: bool = False) -> str:
     """The likeliest plain word behind ``word``, by Viterbi over its lattice.
 
     A state is the last two letters with the word written so far; a character may stay, become
-    a letter it looks like, or vanish if it repeats the one before. Ties go to the least word.
+    a letter it looks like, or vanish if it repeats the one before. With ``breaks`` a space may
+    come before any letter. Ties go to the least word. What all states have written alike is
+    put aside every MAX_WORD characters, so a spelling may have any length.
     """
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    before = ""
-    for char in word[:MAX_WORD]:
+    before, done = "", []
+    for at, char in enumerate(word, 1):
         options = [(char, CHANNEL["same"])] if char.isalpha() else []
         options += [(c, CHANNEL["lookalike"]) for c in LOOKALIKES.get(char, "")]
         if char == before or not options:
@@ -99,13 +112,21 @@ def decode(word: str, costs: list) -> str:
             for letter, extra in options:
                 if letter:
                     c = code_of(letter)
-                    key, value = (b, c), (cost + extra + costs[a][b][c], plain + letter)
+                    ways = [((b, c), (cost + extra + costs[a][b][c], plain + letter))]
+                    if breaks and b:
+                        apart = costs[a][b][0] + costs[b][0][c]
+                        ways.append(((0, c), (cost + extra + apart, plain + " " + letter)))
                 else:
-                    key, value = (a, b), (cost + extra, plain)
-                if key not in found or value < found[key]:
-                    found[key] = value
+                    ways = [((a, b), (cost + extra, plain))]
+                for key, value in ways:
+                    if key not in found or value < found[key]:
+                        found[key] = value
         states = found
-    return min((cost + costs[a][b][0], plain) for (a, b), (cost, plain) in states.items())[1]
+        if at % MAX_WORD == 0:
+            alike = commonprefix([plain for _, plain in states.values()])
+            done.append(alike)
+            states = {k: (cost, plain[len(alike) :]) for k, (cost, plain) in states.items()}
+    return "".join(done) + min((cost + costs[a][b][0], plain) for (a, b), (cost, plain) in states.items())[1]
 
 
 class Restorer:
@@ -118,20 +139,56 @@ class Restorer:
     def word(self, word: str) -> str:
         found = self.plain.get(word)
         if found is None:
-            if len(self.plain) >= KNOWN_WORDS:
-                self.plain.clear()
             bare = _EDGES.sub("", word)
-            odd = len(bare) <= MAX_WORD and _ODD.search(bare)
-            found = self.plain[word] = decode(bare, self.costs) if odd else bare
+            found = decode(bare, self.costs) if odd(bare) else bare
+            if len(word) <= MAX_WORD:
+                if len(self.plain) >= KNOWN_WORDS:
+                    self.plain.clear()
+                self.plain[word] = found
+        return found
+
+    def joined(self, word: str) -> set[str]:
+        """The words in a long spelling: between what may join them, and where breaks are likeliest."""
+        found: set[str] = set()
+        for joint in _JOINTS:
+            found.update(self.word(w) for w in set(joint.split(word)))
+        if odd(word):
+            found.update(decode(word, self.costs, breaks=True).split())
+        return found
+
+    def spaced(self, run: str) -> set[str]:
+        """The words in a run of single characters.
+
+        Wider gaps than the run's least part words, and so do spaces where other gaps have
+        none; within these parts breaks are found by the letters alone. A part and the run are
+        also read as one word.
+        """
+        letters, gaps = _GAPS.split(run), _GAPS.findall(run)
+        if run[0] in "._*-":  # the first character may itself be one of a gap
+            letters, gaps = [run[0], *letters[1:]], gaps[1:]
+        width = [(gap.count(" "), len(gap)) for gap in gaps]
+        least, parts = min(width, default=(0, 0)), [letters[0]]
+        for wide, letter in zip(width, letters[1:]):
+            if wide > least:
+                parts.append(letter)
+            else:
+                parts[-1] += letter
+        whole = "".join(letters)
+        found = {decode(part, self.costs) for part in {whole, *parts}}
+        for part in set(parts):
+            found.update(decode(part, self.costs, breaks=True).split())
         return found
 
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a whole text, spaced-out ones included."""
         text = text.lower()
-        found = {self.word(w) for w in set(text.split())}
+        spellings = set(text.split())
+        found = {self.word(w) for w in spellings}
+        for spelling in spellings:
+            if len(spelling) > MAX_WORD:
+                found |= self.joined(spelling)
         for match in _SPACED.finditer(text):
-            if len(match[0]) <= 2 * MAX_WORD:
-                found.add(decode(_GAPS.sub("", match[0]), self.costs))
+            found |= self.spaced(match[0])
         found.discard("")
         return found
 

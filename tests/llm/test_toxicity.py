@@ -95,3 +95,37 @@ def test_awkward_rows(spark):
     assert len(rows) == len(awkward.TEXTS) and all(0 <= r.score <= 1 for r in rows)
     none = toxicity.fit(awkward.empty(spark), toxicity.training_rows(awkward.empty(spark), labels))
     assert none.base == 0.5 and not none.words and toxicity.score(awkward.empty(spark), none).count() == 0
+
+
+def test_spellings_of_any_length_are_restored(spark):
+    model = model_of(spark)
+    plain = "stone window river garden such idiot market silver letters in winter stone basket river garden window"
+    known = plain.replace("such ", "").replace("in ", "")
+    one = " ".join(known.replace(" ", ""))
+    spelt = {
+        "even gaps": one,
+        "wide gaps": "   ".join(" ".join(w) for w in plain.split()),
+        "dots": " ".join(".".join(w) for w in plain.split()),
+        "thrice": f"{one} {one} {one}",
+        "repeats": "an idi" + "o" * 200 + "t",
+        "joined": plain.replace("idiot", "1d10t").replace(" ", "_"),
+        "symbols": plain.replace("idiot", "id1ot").replace(" ", "+"),
+    }
+    assert len(one) > 2 * toxicity.MAX_WORD
+    restorer = toxicity.Restorer(model.costs)
+    assert {k: "idiot" in restorer.words(t) for k, t in spelt.items()} == dict.fromkeys(spelt, True)
+    clean = " ".join(known.replace("idiot ", "").replace(" ", ""))
+    docs = spark.createDataFrame([*spelt.items(), ("clean", clean)], "doc_id string, text string")
+    got = {r.row.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert min(got[k] for k in spelt) >= toxicity.THRESHOLD > got["clean"]
+
+
+def test_long_decoding_is_one_lattice(spark):
+    costs = model_of(spark).costs.tolist()
+    word = "w1nt3rrr5t0ne" * 40
+    kept, toxicity.MAX_WORD = toxicity.MAX_WORD, 10**6
+    try:
+        want = [toxicity.decode(word, costs, b) for b in (False, True)]
+    finally:
+        toxicity.MAX_WORD = kept
+    assert [toxicity.decode(word, costs, b) for b in (False, True)] == want
