@@ -10,6 +10,7 @@ all are certified, one partition is left, or a round saves nothing.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -51,7 +52,8 @@ class Encoder:
     A byte-level vocabulary never joins bytes over a space that stands before an ASCII letter
     or digit, nor an ASCII letter with what is neither letter nor digit after it, nor with what
     is no letter, white space or apostrophe, or a lone line end, before it (all ASCII, and
-    accented Latin letters); texts are parted there and the parts' ids strung together. Special tokens' strings are ordinary text.
+    accented Latin letters); texts are parted there and the parts' ids strung together. Special
+    tokens' strings are ordinary text here; ``TokenEncoder`` gives them their ids.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -131,12 +133,47 @@ class Encoder:
         return ids[places], np.append(0, until)[np.searchsorted(cuts, bounds[1:])]
 
 
+def added_ids(tokenizer_json: str) -> dict[str, int]:
+    """The ids of the strings that a tokenizer's file takes out of a text before all else."""
+    tokens = json.loads(tokenizer_json).get("added_tokens") or []
+    for token in tokens:
+        if any(token.get(k) for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"added token {token['content']!r} takes in or looks at what is beside it")
+    return {t["content"]: t["id"] for t in tokens if t["content"]}
+
+
+class TokenEncoder:
+    """Ids of whole texts as the tokenizers library gives them, added tokens in the text included."""
+
+    def __init__(self, tokenizer_json: str):
+        self.ordinary = Encoder(tokenizer_json)
+        self.added = {token.encode(): number for token, number in added_ids(tokenizer_json).items()}
+        # Of tokens that begin at one place the longest is taken.
+        found = sorted(self.added, key=len, reverse=True)
+        self.pattern = re.compile(b"(" + b"|".join(map(re.escape, found)) + b")")
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts (large binary), and where each text's ids end."""
+        if not any(pc.any(pc.match_substring(texts, token)).as_py() for token in self.added):
+            return self.ordinary(texts)
+        # Of each text every second part is an added token.
+        parts = [self.pattern.split(raw) for raw in texts.to_pylist()]
+        plain = [part for own in parts for part in own[::2]]
+        ids, ends = self.ordinary(pa.array(plain, pa.large_binary()))
+        between = np.array([self.added[t] for own in parts for t in own[1::2]], np.uint32)
+        # An added token follows every part but the last of its text.
+        last = np.cumsum([len(own[::2]) for own in parts]) - 1
+        inner = np.ones(len(plain), bool)
+        inner[last] = False
+        return np.insert(ids, ends[inner], between), (ends + np.cumsum(inner))[last]
+
+
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<long>"
 
 
 def _pieces(tokenizer_json: str, size: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_json)
+        encoder = TokenEncoder(tokenizer_json)
         for batch in batches:
             texts = text_bytes(batch.column("text"))
             for low, high in byte_slices(texts, SLICE_BYTES):
@@ -173,6 +210,8 @@ def tokenised_pieces(
 ) -> DataFrame:
     """Pieces of every document: its ids and the end id, cut if there are more than ``size``.
 
+    Ids are those of the tokenizers library at its defaults without tokens around the text: a
+    string of an added token in the text has that token's id.
     Only the first piece of a longer document may be shorter. A null or empty text has the end
     id alone; repeated rows each have pieces. ``ids`` is null unless asked for.
     """

@@ -131,3 +131,27 @@ def test_awkward_rows(spark):
     assert len(long) > 20 and all(r.length == 1024 for r in long[1:])
     none = packing.tokenised_pieces(awkward.empty(spark), queries.tokenizer_json())
     assert packing.pack(none).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=30).map("".join), min_size=1, max_size=8))
+def test_added_tokens_have_the_ids_of_the_library_at_its_defaults(texts):
+    if not _DEFAULTS:
+        source = queries.tokenizer_json()
+        _DEFAULTS.extend([packing.TokenEncoder(source), Tokenizer.from_str(source)])
+    encoder, tokenizer = _DEFAULTS
+    texts = ["a<|endoftext|>b", *texts, "<|endoftext|><|endoftext|> <|endoftext", ""]
+    ids, ends = encoder(pa.array([t.encode() for t in texts], pa.large_binary()))
+    begin = 0
+    for text, end in zip(texts, ends.tolist(), strict=True):
+        assert ids[begin:end].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        begin = end
+
+
+_DEFAULTS = []
+
+
+def test_pieces_hold_added_tokens(spark):
+    docs = spark.createDataFrame([(1, "a<|endoftext|>b"), (2, "ab")], "doc_id long, text string")
+    rows = packing.tokenised_pieces(docs, queries.tokenizer_json(), with_ids=True).collect()
+    assert {r.doc_id: list(r.ids) for r in rows}[1] == [64, 50256, 65, 2]
