@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import langid, maxscore, packing, pieces, repeats, secrets, simhash, toxicity, vectors, warc
+from tallyforge.llm import alignment, langid, maxscore, packing, pieces, repeats, secrets, simhash, toxicity, vectors, warc
 from tallyforge.llm.common import crc_fold, stage, table
 
 QUERIES = {}
@@ -218,3 +218,9 @@ SELECT t.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
        coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM texts t LEFT JOIN cut c USING (doc_id)
 """
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, tokenizer_json(), piece_model()).drop("groups")
