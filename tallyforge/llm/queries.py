@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import alignment, langid, maxscore, packing, pieces, repeats, secrets, simhash, toxicity, vectors, warc
+from tallyforge.llm import alignment, langid, leakage, maxscore, packing, pieces, repeats, secrets, simhash, toxicity, vectors, warc
 from tallyforge.llm.common import crc_fold, stage, table
 
 QUERIES = {}
@@ -224,3 +224,47 @@ FROM texts t LEFT JOIN cut c USING (doc_id)
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return alignment.align(docs, tokenizer_json(), piece_model()).drop("groups")
+
+
+@query
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = leakage.find_leaks(docs, table(spark, sf_dir, "benchmark"), size=10)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op12_benchmark_decontamination"] = r"""
+WITH doc_words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_words AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size, list_slice(w, p, p + least(len(w), 10) - 1) AS v
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM item_words WHERE len(w) > 0)
+), sizes AS (
+    SELECT DISTINCT size FROM windows
+), places AS (
+    SELECT doc_id, p, size, list_slice(w, p, p + size - 1) AS v
+    FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM doc_words, sizes WHERE len(w) >= size)
+), hits AS (
+    SELECT DISTINCT doc_id, item_id, p, p + size - 1 AS q FROM places JOIN windows USING (size, v)
+), hit_words AS (
+    SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, q + 1)) AS x FROM hits) GROUP BY 1
+), hit_items AS (
+    SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
