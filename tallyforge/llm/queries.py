@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import alignment, langid, leakage, maxscore, packing, pieces, repeats, secrets, simhash, toxicity, vectors, warc
+from tallyforge.llm import alignment, langid, leakage, maxscore, packing, phrases, pieces, repeats, secrets, simhash, toxicity, vectors, warc
 from tallyforge.llm.common import crc_fold, stage, table
 
 QUERIES = {}
@@ -268,3 +268,47 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    return phrases.mine(docs, least=10, top=2000, share=50)
+
+
+ORACLE["op11_phrase_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), sequences AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), counts AS (
+    SELECT lang, k, list_slice(w, p, p + k - 1) AS v, CAST(count(*) AS HUGEINT) AS f
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM sequences, range(1, 4) AS t(k) WHERE len(w) >= k)
+    GROUP BY ALL
+), totals AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY 1
+), cuts AS (
+    SELECT c.lang, c.v, c.k, c.f AS a, l.f AS l, r.f AS r, l.k AS cut, 1000000 * c.f * c.f // (l.f * r.f) AS score
+    FROM counts c, range(1, 3) AS t(j), counts l, counts r
+    WHERE c.k >= 2 AND c.f >= 10 AND j < c.k
+      AND l.lang = c.lang AND l.v = list_slice(c.v, 1, j) AND r.lang = c.lang AND r.v = list_slice(c.v, j + 1, c.k)
+), candidates AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, v ORDER BY score, cut) = 1
+), longer AS (
+    SELECT lang, v, max(a) AS a FROM (
+        SELECT lang, list_slice(v, 1, 2) AS v, a FROM candidates WHERE k = 3
+        UNION ALL SELECT lang, list_slice(v, 2, 3), a FROM candidates WHERE k = 3)
+    GROUP BY ALL
+), kept AS (
+    SELECT c.lang, array_to_string(c.v, ' ') AS phrase, c.a, c.l, c.r, c.score
+    FROM candidates c LEFT JOIN longer o ON o.lang = c.lang AND o.v = c.v
+    WHERE o.a IS NULL OR 100 * o.a < 50 * c.a
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
