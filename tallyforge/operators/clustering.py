@@ -9,21 +9,21 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from tallyforge import schema as S
 from tallyforge.functions.numbers import number_sql, round_sql
-from tallyforge.operators.reshape import one_row
+from tallyforge.operators import kmeans
 from tallyforge.operators.contracts import check_choice
-from tallyforge.runtime import in_parallel, materialize
+from tallyforge.operators.kmeans import RAW_LABEL, Centres
+from tallyforge.operators.reshape import one_row
+from tallyforge.runtime import materialize
 
 CLUSTER = "Cluster"
 AXES = ["PCA_1", "PCA_2"]
 VECTOR = "_features"
-RAW_LABEL = "_label"
 # The least share of a cluster, the field names of the sweep and of the document.
 MIN_SHARE = 0.05
 LARGEST_K = 6
@@ -58,20 +58,18 @@ def scaled_vectors(df: DataFrame, features: list[str], log: bool) -> tuple[DataF
     return points.select(*scaled_names(features), VECTOR), scaler
 
 
-def fit_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int = 42) -> KMeansModel:
-    """Best of several seeded fits by within-cluster cost."""
-    fits = [
-        KMeans(k=k, seed=seed + i, featuresCol=VECTOR, predictionCol=RAW_LABEL, maxIter=300).fit(vectors)
-        for i in range(restarts)
-    ]
-    return min(fits, key=lambda model: model.summary.trainingCost)
+def fit_kmeans(
+    vectors: DataFrame, k: int, restarts: int, seed: int = 42, features: list[str] = S.CLUSTER_FEATURES
+) -> Centres:
+    """Best of several seeded fits by within-cluster cost; all restarts share their passes."""
+    columns = scaled_names(features)
+    return kmeans.fit_all(kmeans.distinct_points(vectors, columns), columns, [k], restarts, seed)[k]
 
 
-def canonical_labels(model: KMeansModel) -> list[int]:
+def canonical_labels(model: Centres) -> list[int]:
     """New label per fitted label: larger clusters first, then by centre."""
-    sizes = model.summary.clusterSizes
-    centres = [tuple(centre) for centre in model.clusterCenters()]
-    order = sorted(range(len(centres)), key=lambda i: (-sizes[i], centres[i]))
+    centres = [tuple(centre) for centre in model.centres]
+    order = sorted(range(len(centres)), key=lambda i: (-model.sizes[i], centres[i]))
     return [order.index(i) for i in range(len(centres))]
 
 
@@ -165,24 +163,24 @@ def evaluate_k(
     at any size of the table. The row names the one used.
     """
     columns = scaled_names(features)
-    rows_in = vectors.count()
     check_choice(metric, ["squared", "euclidean"])
-
-    def evaluate(k: int) -> tuple | None:
-        model = fit_kmeans(vectors, k, restarts, seed)
-        sizes = sorted((size for size in model.summary.clusterSizes if size), reverse=True)
-        if len(sizes) < 2:
-            return None
-        labelled = model.transform(vectors)
-        if metric == "euclidean":
-            width = euclidean_silhouette(labelled, columns, RAW_LABEL)
-        else:
-            width = squared_silhouette(labelled, RAW_LABEL)
+    rows_in = vectors.count()
+    points = kmeans.distinct_points(vectors, columns)
+    ks = list(range(2, min(LARGEST_K, rows_in - 1) + 1))
+    fits = kmeans.fit_all(points, columns, ks, restarts, seed)
+    fits = {k: fit for k, fit in fits.items() if (fit.sizes > 0).sum() > 1}
+    if metric == "squared":
+        widths = kmeans.silhouettes(points, columns, fits) if fits else {}
+    else:
+        widths = {
+            k: euclidean_silhouette(fit.transformer(columns).transform(vectors), columns, RAW_LABEL)
+            for k, fit in fits.items()
+        }
+    found = []
+    for k, fit in fits.items():
+        sizes = sorted((int(size) for size in fit.sizes if size), reverse=True)
         shown = {str(i): size for i, size in enumerate(sizes)}
-        return k, width, metric, sizes[-1], sizes[0], sizes[-1] / rows_in, shown
-
-    ks = range(2, min(LARGEST_K, rows_in - 1) + 1)
-    found = [row for row in in_parallel(vectors.sparkSession, evaluate, ks) if row]
+        found.append((k, widths[k], metric, sizes[-1], sizes[0], sizes[-1] / rows_in, shown))
     return vectors.sparkSession.createDataFrame(
         found,
         "k int, silhouette double, metrique_silhouette string, taille_min_cluster long, "
@@ -244,14 +242,14 @@ def cluster_table(
     vectors = materialize(vectors, "log_vectors")
     log_rows = evaluate_k(vectors, features, sweep_restarts, seed, metric)
     k = choose_k(log_rows)
-    kmeans = fit_kmeans(vectors, k, final_restarts, seed)
+    best = fit_kmeans(vectors, k, final_restarts, seed, features)
     axes, shares = fit_axes(vectors, features)
     finish = SQLTransformer(
-        statement=f"SELECT *, {relabel_sql(canonical_labels(kmeans))} AS {CLUSTER}, "
+        statement=f"SELECT *, {relabel_sql(canonical_labels(best))} AS {CLUSTER}, "
         + ", ".join(f"{text} AS {name}" for text, name in zip(axes, AXES))
         + " FROM __THIS__"
     )
-    model = PipelineModel([scaler, assembler(features), kmeans, finish])
+    model = PipelineModel([scaler, best.transformer(scaled_names(features)), finish])
     clustered = apply_clusters(model, df)
     metrics = cluster_metrics(clustered, log_rows, raw_rows, k, shares, features)
     return clustered, metrics, model

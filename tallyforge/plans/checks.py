@@ -85,7 +85,7 @@ def r10_anomaly_checks(spark, sf_dir):
 def c2_kmeans_checks(spark, sf_dir):
     """No row is nearer to another centre, and no centre is far from its rows' mean."""
     points = materialize(registry._scaled(registry.stored_fine(spark, sf_dir, *S.CLUSTER_FEATURES)), "points")
-    model = clustering.fit_kmeans(points, k=3, restarts=2)
+    model = clustering.fit_kmeans(points, k=3, restarts=40)
     labels = clustering.relabel_sql(clustering.canonical_labels(model))
     centres = [[float(x) for x in c] for c in model.clusterCenters()]
     vector = vector_to_array(clustering.VECTOR)
@@ -94,7 +94,7 @@ def c2_kmeans_checks(spark, sf_dir):
         pairs = F.zip_with(vector, F.array(*map(F.lit, centre)), lambda x, y: (x - y) * (x - y))
         return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)
 
-    placed = model.transform(points).select(
+    placed = model.transformer(clustering.scaled_names(S.CLUSTER_FEATURES)).transform(points).select(
         clustering.RAW_LABEL, F.expr(labels).alias("label"), vector.alias("v"),
         F.array(*map(distance, centres)).alias("d"),
     )
@@ -105,7 +105,7 @@ def c2_kmeans_checks(spark, sf_dir):
     sizes = [r[0] for r in placed.groupBy("label").count().orderBy("label").select("count").collect()]
     means = placed.groupBy(clustering.RAW_LABEL).agg(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(len(centres[0]))])
     moved = sum(
-        max(abs(r[i + 1] - x) for i, x in enumerate(centres[r[0]])) > 0.05 for r in means.collect()
+        max(abs(r[i + 1] - x) for i, x in enumerate(centres[r[0]])) > 1e-6 for r in means.collect()
     )
     ordered = sizes == sorted(sizes, reverse=True)
     return _figures(spark, **row.asDict(), etiquettes_ordonnees=ordered, centres_decales=moved)
@@ -127,7 +127,7 @@ SWEEP = {"ks": "20", "lignes": "5 * n", "parts_fausses": "0", "silhouettes_hors_
 @check(**SWEEP)
 def c4_k_sweep_checks(spark, sf_dir):
     vectors = materialize(registry._cluster_vectors(spark, sf_dir, log=True), "vectors")
-    found = clustering.evaluate_k(vectors, S.CLUSTER_FEATURES, restarts=1, metric="squared").collect()
+    found = clustering.evaluate_k(vectors, S.CLUSTER_FEATURES).collect()
     return _figures(spark, **_sweep_figures(found, vectors.count()))
 
 
@@ -160,7 +160,7 @@ def c7_transformation_checks(spark, sf_dir):
     rows, size = {}, 0
     for name in ("brut", "log1p"):
         vectors = materialize(registry._cluster_vectors(spark, sf_dir, name == "log1p"), "vectors")
-        rows[name], size = clustering.evaluate_k(vectors, S.CLUSTER_FEATURES, restarts=1, metric="squared"), vectors.count()
+        rows[name], size = clustering.evaluate_k(vectors, S.CLUSTER_FEATURES), vectors.count()
     both = clustering.compare_transformations(rows["brut"], rows["log1p"]).collect()
     values = {}
     for name in rows:
@@ -172,7 +172,7 @@ def c7_transformation_checks(spark, sf_dir):
 @check(lignes="n", diagnostics="10", profils="0", k_choisi="1", variance="1", silhouette="0")
 def c8_metric_checks(spark, sf_dir):
     stored = registry.stored_fine(spark, sf_dir)
-    _, metrics, _ = clustering.cluster_table(stored, sweep_restarts=1, final_restarts=1, metric="squared")
+    _, metrics, _ = clustering.cluster_table(stored)
     row = metrics.first()
     best = {r.k: r.silhouette for r in row.diagnostic_log1p}
     return _figures(

@@ -780,9 +780,10 @@ def c1_standardised_counts(spark, sf_dir):
 def c2_kmeans(spark, sf_dir):
     stored = stored_fine(spark, sf_dir, S.RECORD_ID, *S.CLUSTER_FEATURES)
     points = _scaled(stored)
-    model = clustering.fit_kmeans(points, k=3, restarts=2)
+    model = clustering.fit_kmeans(points, k=3, restarts=40)
     labels = clustering.relabel_sql(clustering.canonical_labels(model))
-    return model.transform(points).selectExpr(S.RECORD_ID, f"{labels} as {clustering.CLUSTER}")
+    placed = model.transformer(clustering.scaled_names(S.CLUSTER_FEATURES)).transform(points)
+    return placed.selectExpr(S.RECORD_ID, f"{labels} as {clustering.CLUSTER}")
 
 
 @query
@@ -804,7 +805,7 @@ def c3_squared_silhouette(spark, sf_dir):
 @query
 def c4_k_sweep(spark, sf_dir):
     vectors = _cluster_vectors(spark, sf_dir, log=True)
-    return clustering.evaluate_k(vectors, S.CLUSTER_FEATURES, restarts=1, metric="squared")
+    return clustering.evaluate_k(vectors, S.CLUSTER_FEATURES)
 
 
 @query
@@ -837,7 +838,7 @@ def c6_pca_axes(spark, sf_dir):
 def c7_compare_transformations(spark, sf_dir):
     def rows(log: bool) -> DataFrame:
         vectors = _cluster_vectors(spark, sf_dir, log)
-        return clustering.evaluate_k(vectors, S.CLUSTER_FEATURES, restarts=1, metric="squared")
+        return clustering.evaluate_k(vectors, S.CLUSTER_FEATURES)
 
     return clustering.compare_transformations(rows(False), rows(True))
 
@@ -845,7 +846,7 @@ def c7_compare_transformations(spark, sf_dir):
 @query
 def c8_cluster_metrics(spark, sf_dir):
     stored = stored_fine(spark, sf_dir)
-    _, metrics, _ = clustering.cluster_table(stored, sweep_restarts=1, final_restarts=1, metric="squared")
+    _, metrics, _ = clustering.cluster_table(stored)
     return metrics.select(F.to_json(F.struct("*")).alias("document"))
 
 
