@@ -7,13 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from tallyforge import schema as S
 from tallyforge.functions.numbers import number_sql
+from tallyforge.operators import boosting
 from tallyforge.operators.quantiles import exact_quantiles
-from tallyforge.runtime import RollingState
 
 FEATURES = "features"
 PREDICTION = "prediction"
@@ -192,70 +192,45 @@ def fit_forest_regressor(
     return PipelineModel([*stages, forest.fit(_prepared(df, stages, target))])
 
 
-def _by_leaf(values: dict[float, float]) -> str:
-    cases = " ".join(f"when {number_sql(leaf)} then {number_sql(v)}" for leaf, v in sorted(values.items()))
-    return f"case {{0}} {cases} else 0D end"
-
-
-def fit_boosting(
+def fit_boosting_lanes(
     df: DataFrame,
+    held_out: list[tuple[str, int] | None],
     target: str = S.TARGET,
     rounds: int = 220,
     rate: float = 0.035,
     depth: int = 3,
     alpha: float = 0.9,
-    bins: int = 128,
-    seed: int = 42,
-    save_every: int = 10,
-) -> PipelineModel:
-    """Gradient boosting with Huber loss (Friedman, 2001).
-
-    Each round fits a tree to residuals cut at their ``alpha`` quantile and moves every
-    leaf by its median residual plus the mean clipped rest. The cut and the medians use
-    quantile sketches, whose size does not grow with the data. The running prediction is
-    stored every few rounds so the plan stays short.
+    save_every: int = boosting.SAVE_EVERY,
+) -> tuple[list[PipelineModel], list[boosting.Fit]]:
+    """Gradient boosting with Huber loss (Friedman, 2001) on several training sets in shared passes.
+
+    A lane trains on all rows (None) or on those whose fold column holds another number. Each
+    round fits a tree to residuals cut at their ``alpha`` quantile and moves every leaf by its
+    median residual plus the mean clipped rest. Bins and fills come from all rows of ``df``,
+    labels never do.
     """
-    stages = fit_preprocessor(df).stages
-    start = exact_quantiles(df, [target], [0.5])[target][0]
-    state = RollingState(df.sparkSession, "boosting")
-    current = state.save(
-        _prepared(df, stages, target).withColumn("_running", F.lit(start).cast("double"))
+    numeric, categorical = S.NUMERIC_FEATURES, S.CATEGORICAL_FEATURES
+    fill = fit_imputation(df, numeric, categorical)
+    values = {c: f"coalesce({fill.numeric(c)}, 0D)" for c in numeric}
+    names = {c: f"coalesce({fill.category(c)}, '')" for c in categorical}
+    binning = boosting.fit_binning(df, values, names)
+    starts = []
+    for lane in held_out:
+        own = df if lane is None else df.where(F.col(lane[0]) != lane[1])
+        starts.append(exact_quantiles(own, [target], [0.5])[target][0])
+    folds = sorted({c for c, _ in filter(None, held_out)})
+    rows = df.select(
+        F.col(target).cast("double").alias("label"),
+        *[F.col(c).cast("int").alias(c) for c in folds],
+        *[F.expr(sql).alias(c) for c, sql in {**values, **names}.items()],
     )
-    trees, steps = [], []
-    for turn in range(rounds):
-        residual = f"({LABEL} - _running)"
-        cut = current.agg(F.expr(f"percentile_approx(abs{residual}, {alpha}, 10000)")).first()[0]
-        clipped = f"greatest(least({residual}, {number_sql(cut)}), {number_sql(-cut)})"
-        tree = DecisionTreeRegressor(
-            featuresCol=FEATURES,
-            labelCol="_pull",
-            leafCol=f"_leaf_{turn}",
-            maxDepth=depth,
-            maxBins=bins,
-            seed=seed + turn,
-        ).fit(current.withColumn("_pull", F.expr(clipped)))
-        tree.setPredictionCol("")
-        placed = tree.transform(current)
-        leaf = f"_leaf_{turn}"
-        medians = {
-            row[0]: row[1]
-            for row in placed.groupBy(leaf).agg(F.expr(f"percentile_approx({residual}, 0.5, 10000)")).collect()
-        }
-        rest = f"({residual} - {_by_leaf(medians).format(leaf)})"
-        inner = f"avg(sign({rest}) * least(abs({rest}), {number_sql(cut)}))"
-        moves = {
-            row[0]: rate * (medians[row[0]] + row[1])
-            for row in placed.groupBy(leaf).agg(F.expr(inner)).collect()
-        }
-        step = _by_leaf(moves).format(leaf)
-        current = placed.selectExpr(FEATURES, LABEL, f"_running + {step} as _running")
-        trees.append(tree)
-        steps.append(step)
-        if (turn + 1) % save_every == 0:
-            current = state.save(current)
-    total = " + ".join([number_sql(start), *steps])
-    finish = SQLTransformer(statement=f"SELECT *, {total} AS {PREDICTION} FROM __THIS__")
-    return PipelineModel([*stages, *trees, finish])
+    fits = boosting.boost(rows, binning, held_out, starts, rounds, rate, depth, alpha, save_every)
+    return [PipelineModel([boosting.TreeSum.of(f, binning, values, names, PREDICTION)]) for f in fits], fits
+
+
+def fit_boosting(df: DataFrame, target: str = S.TARGET, rounds: int = 220, rate: float = 0.035, **settings) -> PipelineModel:
+    """One boosted model over all rows, see :func:`fit_boosting_lanes`."""
+    return fit_boosting_lanes(df, [None], target, rounds, rate, **settings)[0][0]
 
 
 Fitter = Callable[[DataFrame], PipelineModel]

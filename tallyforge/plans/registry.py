@@ -939,7 +939,7 @@ def m7_random_forest(spark, sf_dir):
 @query
 def m8_huber_boosting(spark, sf_dir):
     rows = stored_model_rows(spark, sf_dir)
-    model = regressors.fit_boosting(rows, rounds=5, rate=0.3)
+    model = regressors.fit_boosting(rows)
     return model.transform(rows).selectExpr(S.RECORD_ID, f"{round_sql(PREDICTION, 4)} as {PREDICTION}")
 
 
