@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from tallyforge import schema as S
 from tallyforge.functions.numbers import number_sql
-from tallyforge.operators import boosting
+from tallyforge.operators import boosting, gram
 from tallyforge.operators.quantiles import exact_quantiles
 
 FEATURES = "features"
@@ -233,13 +233,35 @@ def fit_boosting(df: DataFrame, target: str = S.TARGET, rounds: int = 220, rate:
     return fit_boosting_lanes(df, [None], target, rounds, rate, **settings)[0][0]
 
 
+def fit_ridge_lanes(
+    df: DataFrame, held_out: list[tuple[str, int] | None], target: str = S.TARGET, alpha: float = 10.0
+) -> list[PipelineModel]:
+    """The ridge fits of several training sets from one pass over ``df``, see :mod:`gram`."""
+    found = gram.ridge_lanes(df, held_out, S.NUMERIC_FEATURES, S.CATEGORICAL_FEATURES, target, alpha)
+    return [PipelineModel([SQLTransformer(statement=f"SELECT *, {sql} AS {PREDICTION} FROM __THIS__")]) for sql in found]
+
+
 Fitter = Callable[[DataFrame], PipelineModel]
 
 
+@dataclass(frozen=True)
+class LaneFitter:
+    """A fitter that can also fit several training sets together, each all rows or all but a fold."""
+
+    one: Fitter
+    lanes: Callable[[DataFrame, list[tuple[str, int] | None]], list[PipelineModel]]
+
+    def __call__(self, df: DataFrame) -> PipelineModel:
+        return self.one(df)
+
+
 def candidate_models(trees: int = 350, rounds: int = 220) -> dict[str, Fitter]:
     return {
         MEDIAN: fit_median,
-        RIDGE: fit_ridge,
+        RIDGE: LaneFitter(fit_ridge, fit_ridge_lanes),
         FOREST: lambda df: fit_forest_regressor(df, trees=trees),
-        BOOSTING: lambda df: fit_boosting(df, rounds=rounds),
+        BOOSTING: LaneFitter(
+            lambda df: fit_boosting(df, rounds=rounds),
+            lambda df, held_out: fit_boosting_lanes(df, held_out, rounds=rounds)[0],
+        ),
     }

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, functions as F
 
 from tallyforge import schema as S
@@ -26,20 +27,46 @@ PERIOD_FOLD = "_period_fold"
 def out_of_fold(
     df: DataFrame, fitter: Fitter, folds: int, fold: str = FOLD, keep: Iterable[str] = KEYS, target: str = S.TARGET, parallelism: int = 4
 ) -> DataFrame:
-    """Held-out predictions: every fold is predicted by a model fitted on the others."""
-    keep = list(keep)
-
-    def predict(number: int) -> DataFrame:
-        model = fitter(df.where(F.col(fold) != number))
-        held_out = model.transform(df.where(F.col(fold) == number))
-        return held_out.selectExpr(
-            *keep, f"{fold} as {FOLD}", f"cast({target} as double) as {ACTUAL}", PREDICTION
-        )
+    """Held-out predictions: every fold is predicted by a model fitted on the others.
+
+    A fitter with lanes fits all of them in shared passes.
+    """
+    lanes = getattr(fitter, "lanes", None)
+    if lanes:
+        return held_out_predictions(df, lanes(df, [(fold, i) for i in range(folds)]), fold, keep, target)
+
+    def fit(number: int) -> PipelineModel:
+        return fitter(df.where(F.col(fold) != number))
+
+    models = in_parallel(df.sparkSession, fit, range(folds), parallelism)
+    return held_out_predictions(df, models, fold, keep, target)
 
-    parts = in_parallel(df.sparkSession, predict, range(folds), parallelism)
+
+def held_out_predictions(
+    df: DataFrame, models: list[PipelineModel], fold: str = FOLD, keep: Iterable[str] = KEYS, target: str = S.TARGET
+) -> DataFrame:
+    """Each row predicted by the model of its fold; SQL models share one scan, others take one each."""
+    shown = [*keep, f"{fold} as {FOLD}", f"cast({target} as double) as {ACTUAL}"]
+    texts = [_prediction_sql(model) for model in models]
+    if all(texts):
+        cases = " ".join(f"when {number} then {sql}" for number, sql in enumerate(texts))
+        return df.where(F.col(fold).between(0, len(models) - 1)).selectExpr(*shown, f"case {fold} {cases} end as {PREDICTION}")
+    parts = [
+        model.transform(df.where(F.col(fold) == number)).selectExpr(*shown, PREDICTION)
+        for number, model in enumerate(models)
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _prediction_sql(model: PipelineModel) -> str | None:
+    """The expression of a model that is one SQL projection."""
+    if len(model.stages) != 1 or not isinstance(model.stages[0], SQLTransformer):
+        return None
+    statement = model.stages[0].getStatement()
+    begin, end = "SELECT *, ", f" AS {PREDICTION} FROM __THIS__"
+    return statement[len(begin) : -len(end)] if statement.startswith(begin) and statement.endswith(end) else None
+
+
 def fold_scores(predictions: DataFrame) -> DataFrame:
     """MAE, MSE and R2 of each fold; a constant target scores 1 when met and 0 otherwise."""
     error = f"({ACTUAL} - {PREDICTION})"
@@ -113,11 +140,17 @@ def evaluate_models(df: DataFrame, models: dict[str, Fitter], splits: int = 5, s
     folded = materialize(folded, "folded")
     rows, held_out, fitted = [], {}, {}
     for name, fitter in models.items():
-        held_out[name] = materialize(
-            out_of_fold(folded, fitter, splits, parallelism=parallelism), "held_out"
-        )
-        by_period = out_of_fold(folded, fitter, periods, PERIOD_FOLD, parallelism=parallelism)
-        fitted[name] = fitter(folded)
+        lanes = getattr(fitter, "lanes", None)
+        if lanes:
+            sets = [None, *((FOLD, i) for i in range(splits)), *((PERIOD_FOLD, i) for i in range(periods))]
+            fitted[name], *others = lanes(folded, sets)
+            found = held_out_predictions(folded, others[:splits])
+            by_period = held_out_predictions(folded, others[splits:], PERIOD_FOLD)
+        else:
+            found = out_of_fold(folded, fitter, splits, parallelism=parallelism)
+            by_period = out_of_fold(folded, fitter, periods, PERIOD_FOLD, parallelism=parallelism)
+            fitted[name] = fitter(folded)
+        held_out[name] = materialize(found, "held_out")
         on_training = fitted[name].transform(folded).selectExpr(
             f"cast({S.TARGET} as double) as {ACTUAL}", PREDICTION
         )

@@ -262,7 +262,7 @@ def m14_out_of_fold_checks(spark, sf_dir):
             F.count_if(F.col(PREDICTION).isNull()).alias("none"), F.avg(error).alias("mse"),
         ).first()
 
-    own, base = figures(regressors.fit_ridge), figures(regressors.fit_median)
+    own, base = figures(regressors.candidate_models()[regressors.RIDGE]), figures(regressors.fit_median)
     return _figures(spark, lignes=own.n, distinctes=own.ids, sans_prediction=own.none, meilleur_que_la_mediane=own.mse < base.mse)
 
 

@@ -980,7 +980,7 @@ def m13_model_comparison(spark, sf_dir):
 @query
 def m14_out_of_fold_ridge(spark, sf_dir):
     folded = materialize(validation.shuffled_folds(stored_model_rows(spark, sf_dir)), "folded")
-    held_out = validation.out_of_fold(folded, regressors.fit_ridge, 5, keep=[S.RECORD_ID])
+    held_out = validation.out_of_fold(folded, regressors.candidate_models()[regressors.RIDGE], 5, keep=[S.RECORD_ID])
     return held_out.selectExpr(S.RECORD_ID, f"{round_sql(PREDICTION, 4)} as {PREDICTION}")
 
 
