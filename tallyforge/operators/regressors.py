@@ -150,8 +150,7 @@ def _prepared(df: DataFrame, stages: list[Transformer], target: str) -> DataFram
 def fit_median(df: DataFrame, target: str = S.TARGET) -> PipelineModel:
     """Constant prediction: the exact training median."""
     middle = exact_quantiles(df, [target], [0.5])[target][0]
-    constant = SQLTransformer(statement=f"SELECT *, {number_sql(middle)} AS {PREDICTION} FROM __THIS__")
-    return PipelineModel([constant])
+    return _sql_model({}, number_sql(middle))
 
 
 def fit_ridge(df: DataFrame, target: str = S.TARGET, alpha: float = 10.0) -> PipelineModel:
@@ -238,7 +237,14 @@ def fit_ridge_lanes(
 ) -> list[PipelineModel]:
     """The ridge fits of several training sets from one pass over ``df``, see :mod:`gram`."""
     found = gram.ridge_lanes(df, held_out, S.NUMERIC_FEATURES, S.CATEGORICAL_FEATURES, target, alpha)
-    return [PipelineModel([SQLTransformer(statement=f"SELECT *, {sql} AS {PREDICTION} FROM __THIS__")]) for sql in found]
+    return [_sql_model(terms, total) for terms, total in found]
+
+
+def _sql_model(terms: dict[str, str], total: str) -> PipelineModel:
+    """A model that is one projection; what it adds up stays on the fitted object, not in its file."""
+    stage = SQLTransformer(statement=f"SELECT *, {total} AS {PREDICTION} FROM __THIS__")
+    stage.additive_terms = terms, total
+    return PipelineModel([stage])
 
 
 Fitter = Callable[[DataFrame], PipelineModel]

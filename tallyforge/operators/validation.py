@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyforge import schema as S
 from tallyforge.functions.numbers import round_sql
 from tallyforge.operators.folds import FOLD, period_folds, shuffled_folds
+from tallyforge.operators.importance import block_importance, readable
 from tallyforge.operators.regressors import PREDICTION, Fitter
 from tallyforge.operators.reshape import one_row
 from tallyforge.runtime import in_parallel, materialize
@@ -196,13 +197,19 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean increase of the absolute error when one feature is shuffled, largest first.
 
-    Row *i* takes the feature from row ``(a * i + b) mod n`` with ``a`` prime to ``n``,
+    A model whose terms or trees are known is scored by what a swap changes, in blocks of rows
+    (:mod:`importance`). For any other, row *i* takes the feature from row ``(a * i + b) mod n`` with ``a`` prime to ``n``,
     after the rows were put in the order of a hash of ``key``, which tells rows with the same
     values apart. One join per repeat brings all features of the
     partner row at once, and every feature is then swapped in on its own.
     """
     if key not in df.columns:
         df = materialize(df.withColumn(key, F.monotonically_increasing_id()), "identified")
+    form = readable(model)
+    if form is not None:
+        found = block_importance(df, form, list(features), target, repeats, seed, key)
+        shown = found.select("variable", F.expr(f"{round_sql('more', 4)} as importance"))
+        return shown.orderBy(F.col("importance").desc(), "variable")
     spread = df.select(*features, target, F.expr(f"xxhash64({key}, {seed}) as _order"))
     rows = materialize(dense_index(spread.repartitionByRange("_order")).drop("_order"), "indexed")
     size = rows.count()

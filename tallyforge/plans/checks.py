@@ -270,7 +270,8 @@ def m14_out_of_fold_checks(spark, sf_dir):
 def m16_importance_checks(spark, sf_dir):
     """Every feature is ranked; shuffling one for a model that ignores it changes nothing."""
     rows = registry.stored_model_rows(spark, sf_dir)
-    found = validation.permutation_importance(rows, regressors.fit_ridge(rows), repeats=3).collect()
+    (model,) = regressors.fit_ridge_lanes(rows, [None])
+    found = validation.permutation_importance(rows, model, repeats=20).collect()
     values = [r.importance for r in found]
     ignored = validation.permutation_importance(rows, regressors.fit_median(rows), repeats=1).collect()
     return _figures(

@@ -998,7 +998,8 @@ def m15_prediction_table(spark, sf_dir):
 @query
 def m16_permutation_importance(spark, sf_dir):
     rows = stored_model_rows(spark, sf_dir)
-    return validation.permutation_importance(rows, regressors.fit_ridge(rows), repeats=20)
+    (model,) = regressors.fit_ridge_lanes(rows, [None])
+    return validation.permutation_importance(rows, model, repeats=20)
 
 
 @query
