@@ -28,7 +28,7 @@ TOP = 2000
 SHARE = 50
 SCALE = 1_000_000
 BITS = 24
-BLOCK_WORDS = 4 << 20  # words whose phrases are summed in a task before they are sent on
+BLOCK_WORDS = 1 << 20  # words whose phrases are summed in a task before they are sent on
 BUCKET = 64  # width of the score ranges among which cuts are chosen
 NO_LANGUAGE = "und"
 
