@@ -932,7 +932,7 @@ def m6_ridge(spark, sf_dir):
 @query
 def m7_random_forest(spark, sf_dir):
     rows = stored_model_rows(spark, sf_dir)
-    model = regressors.fit_forest_regressor(rows, trees=20)
+    model = regressors.fit_forest_regressor(rows)
     return model.transform(rows).selectExpr(S.RECORD_ID, f"{round_sql(PREDICTION, 4)} as {PREDICTION}")
 
 
@@ -966,10 +966,14 @@ def m12_training_diagnostics(spark, sf_dir):
     return validation.training_diagnostics(with_standin_prediction(fine_clean(spark, sf_dir)))
 
 
+def _few_rounds() -> dict:
+    """All four models with few trees and rounds: a comparison fits each of them 13 times."""
+    return regressors.candidate_models(trees=10, rounds=5)
+
+
 def _comparison(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, validation.Comparison]:
-    stored = materialize(coarse_clean(spark, sf_dir).select(*MODEL_COLUMNS), "coarse_cells")
-    models = regressors.candidate_models(trees=10, rounds=2)
-    return stored, validation.evaluate_models(stored, models)
+    stored = stored_model_rows(spark, sf_dir)
+    return stored, validation.evaluate_models(stored, _few_rounds())
 
 
 @query
@@ -1012,10 +1016,8 @@ def m17_batch_scoring(spark, sf_dir):
 
 @query
 def m18_regression_metrics(spark, sf_dir):
-    stored = materialize(coarse_clean(spark, sf_dir).select(*MODEL_COLUMNS), "coarse_cells")
-    models = {regressors.MEDIAN: regressors.fit_median, regressors.RIDGE: regressors.fit_ridge}
-    found = validation.evaluate_models(stored, models)
-    importances = validation.permutation_importance(stored, found.best_model, repeats=2)
+    stored, found = _comparison(spark, sf_dir)
+    importances = validation.permutation_importance(stored, found.best_model)
     metrics = validation.regression_metrics(found, importances, stored.count())
     return metrics.select(F.to_json(F.struct("*")).alias("document"))
 
@@ -1042,7 +1044,7 @@ def s5_model_round_trip(spark, sf_dir):
 # ---------------------------------------------------------------- whole preparations
 
 
-def _prepared(spark: SparkSession, sf_dir: str, models: dict) -> stages.Workspace:
+def _prepared(spark: SparkSession, sf_dir: str) -> stages.Workspace:
     space = stages.Workspace(spark, scratch_path(spark, "workspace"))
     stages.prepare_all(
         space,
@@ -1050,25 +1052,22 @@ def _prepared(spark: SparkSession, sf_dir: str, models: dict) -> stages.Workspac
         cells.official_totals(spark, sf_dir),
         cells.ORDINAL,
         cells.PERIOD_FACTORS,
-        restarts=(1, 1),
         isolation_trees=MODEL_TREES,
-        models=models,
-        repeats=2,
+        models=_few_rounds(),
     )
     return space
 
 
 @query
 def x1_prepare_stages(spark, sf_dir):
-    models = {regressors.MEDIAN: regressors.fit_median, regressors.RIDGE: regressors.fit_ridge}
-    space = _prepared(spark, sf_dir, models)
+    space = _prepared(spark, sf_dir)
     enriched = space.read("enriched", "model")
     return enriched.groupBy(clustering.CLUSTER, rules.LEVEL).agg(F.count("*").alias("nombre"))
 
 
 @query
 def x2_prepare_and_load(spark, sf_dir):
-    space = _prepared(spark, sf_dir, {regressors.RIDGE: regressors.fit_ridge})
+    space = _prepared(spark, sf_dir)
     loaded = stages.load(space, "tallyforge_enriched", force=True, path=scratch_path(spark, "serving"))
     return spark.createDataFrame([(loaded,)], "lignes long")
 
