@@ -100,3 +100,24 @@ def test_dense_group_of_many_blocks_is_whole(spark):
     assert max(want) >= 800
     assert [got[i][0] for i in range(len(want))] == want
     assert all(got[i][1] == 0 for i in range(900))
+
+
+def test_large_component_beside_small_ones(spark, monkeypatch):
+    """Parts smaller than a component, copies in it, and a chain of links that no window sees whole."""
+    monkeypatch.setattr(vectors, "GROUP_VALUES", 32 * 20)
+    rng = np.random.default_rng(4)
+    center = rng.standard_normal(32)
+    rows = [(center + 0.2 * rng.standard_normal(32)).tolist() for _ in range(150)]
+    rows += rows[:40] + [v for _, v in clusters(20, 3, 0.1, seed=6)]
+    rows = list(enumerate(rows))
+    random.Random(2).shuffle(rows)
+    want, got = brute(rows), found(spark, rows, block=8)
+    large = {i for i, (_, c) in want.items() if list(c for _, c in want.values()).count(c) > 100}
+    assert len(large) >= 150 and all(got[i] == want[i] for i in large)
+    hit = sum(min(got[i][0], n) for i, (n, _) in want.items())
+    assert hit >= 0.95 * sum(n for n, _ in want.values())
+
+
+def test_each_vector_is_dealt_a_bounded_number_of_times():
+    """Twice a pass at any size: passes grow with a power of the table far below one."""
+    assert vectors.passes_for(3 * 10**5, 0.9) <= 30 and vectors.passes_for(3 * 10**7, 0.9) <= 90
