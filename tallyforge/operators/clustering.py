@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,7 +25,8 @@ VECTOR = "_features"
 # The least share of a cluster, the field names of the sweep and of the document.
 MIN_SHARE = 0.05
 LARGEST_K = 6
-BLOCK_POINTS = 50_000
+BLOCK_POINTS = 8192
+TILE_TASKS = 10_000
 
 
 def scaled_names(features: list[str]) -> list[str]:
@@ -86,9 +85,10 @@ def euclidean_silhouette(
 ) -> float | None:
     """Mean silhouette with plain distances, over weighted distinct points.
 
-    The cost is quadratic in the distinct points and there is no limit to them. They are
-    taken in blocks of bounded size: a pass over all points adds up each point's distances
-    to one block per cluster, and no pair is ever emitted. For large tables
+    The cost is quadratic in the distinct points and there is no limit to them. Points are
+    dealt into blocks of bounded size by their hash; every two blocks meet in one task, which
+    adds up each point's distances to the other block per cluster. No pair is emitted and no
+    block passes through the driver: a point is shuffled once per block. For large tables
     :func:`squared_silhouette` is linear, and a different number.
     """
     weighted = materialize(points.groupBy(*columns, label).agg(F.count("*").alias("n")), "points")
@@ -97,21 +97,22 @@ def euclidean_silhouette(
     if len(names) < 2:
         return None
     blocks = max(1, math.ceil(weighted.count() / block_points))
-    block = F.pmod(F.xxhash64(*columns, label), F.lit(blocks))
-    sums = [f"_sum_{i}" for i in range(len(names))]
-    kinds = ", ".join([*(f"`{c}` double" for c in columns), "own int, n long", *(f"{s} double" for s in sums)])
-    passes = []
-    for number in range(blocks):
-        some = weighted.where(block == number).toPandas()
-        member = np.zeros((len(some), len(names)))
-        member[np.arange(len(some)), np.searchsorted(names, some[label].to_numpy())] = some["n"]
-        shared = points.sparkSession.sparkContext.broadcast(
-            (some[columns].to_numpy(dtype=np.float64), member)
-        )
-        passes.append(weighted.mapInPandas(_distance_sums(shared, columns, label, names, sums), kinds))
-    total = reduce(DataFrame.unionByName, passes)
-    if blocks > 1:
-        total = total.groupBy(*columns, "own", "n").agg(*[F.sum(s).alias(s) for s in sums])
+    axes, sums = [f"_x_{i}" for i in range(len(columns))], [f"_sum_{i}" for i in range(len(names))]
+    places = F.array(*[F.lit(name) for name in names])
+    dealt = weighted.select(
+        *[F.col(c).cast("double").alias(x) for c, x in zip(columns, axes)],
+        (F.array_position(places, F.col(label)) - 1).cast("int").alias("own"),
+        "n",
+        F.pmod(F.xxhash64(*columns, label), F.lit(blocks)).cast("int").alias("block"),
+        F.monotonically_increasing_id().alias("point"),
+    )
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    kinds = ", ".join(["point long, own int, n long", *(f"{s} double" for s in sums)])
+    # A tile is little data but much work, so tasks are not to be merged by their size.
+    met = met.repartition(min(blocks * (blocks + 1) // 2, TILE_TASKS), "low", "high")
+    parts = met.groupBy("low", "high").applyInPandas(_distance_sums(axes, sums), kinds)
+    total = parts.groupBy("point", "own", "n").agg(*[F.sum(s).alias(s) for s in sums])
     size = F.element_at(F.array(*[F.lit(int(sizes[name])) for name in names]), F.col("own") + 1)
     at = [F.col(s) / F.lit(int(sizes[name])) for s, name in zip(sums, names)]
     others = [F.when(F.col("own") != i, mean) for i, mean in enumerate(at)]
@@ -123,26 +124,32 @@ def euclidean_silhouette(
     return row.w / row.n
 
 
-def _distance_sums(shared, columns: list[str], label: str, names: list, sums: list[str]):
-    """Each point's weighted distances to a block of points, summed per cluster."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        others, weights = shared.value
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start : start + 256]
-                mine = part[columns].to_numpy(dtype=np.float64)
-                square = np.zeros((len(mine), len(others)))
-                for axis in range(mine.shape[1]):
-                    square += (mine[:, axis, None] - others[None, :, axis]) ** 2
-                out = pd.DataFrame(np.sqrt(square) @ weights, columns=sums)
-                for axis, column in enumerate(columns):
-                    out[column] = mine[:, axis]
-                out["own"] = np.searchsorted(names, part[label].to_numpy()).astype(np.int32)
-                out["n"] = part["n"].to_numpy()
-                yield out[[*columns, "own", "n", *sums]]
-
-    return run
+def _distance_sums(axes: list[str], sums: list[str]):
+    """Weighted distances between the points of two blocks, or within one, summed per cluster."""
+
+    def one_way(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        others = theirs[axes].to_numpy()
+        weights = np.zeros((len(theirs), len(sums)))
+        weights[np.arange(len(theirs)), theirs["own"].to_numpy()] = theirs["n"]
+        at, found = mine[axes].to_numpy(), np.zeros((len(mine), len(sums)))
+        for start in range(0, len(mine), 256):
+            part = slice(start, start + 256)
+            square = np.zeros((len(at[part]), len(others)))
+            for axis in range(len(axes)):
+                square += (at[part, axis, None] - others[None, :, axis]) ** 2
+            found[part] = np.sqrt(square) @ weights
+        out = pd.DataFrame(found, columns=sums)
+        for name in ("n", "own", "point"):
+            out.insert(0, name, mine[name].to_numpy())
+        return out
+
+    def tile(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["low"].iloc[0] == rows["high"].iloc[0]:
+            return one_way(rows, rows)
+        first, second = rows[rows["block"] == rows["low"]], rows[rows["block"] == rows["high"]]
+        return pd.concat([one_way(first, second), one_way(second, first)])
+
+    return tile
 
 
 def squared_silhouette(vectors: DataFrame, label: str, vector: str = VECTOR) -> float:
