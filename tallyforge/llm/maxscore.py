@@ -17,6 +17,9 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tallyforge.llm.common import discard, stage
+from tallyforge.runtime import scratch_path
+
 SCALE = 1024
 SHARD_ROWS = 8192
 # Queries that go to the executors at once; more take more rounds.
@@ -131,18 +134,24 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, round_queries: int =
 
     Both sides are (vec_id, whole). Scores are whole inner products; ties go to the smaller
     vec_id, and rows with the query's own vec_id are no candidates. Only vectors of the same
-    length meet. Repeated queries count once; repeated rows are candidates each. Queries
-    go to the executors in rounds of bounded size, in which each task reads its rows once.
+    length meet. Repeated rows are candidates each. Equal queries count once; several vectors
+    of one query id share one ranking of all their scores. Queries go to the executors in rounds
+    of bounded size, in which each task reads its rows once; a round's result is stored and its
+    queries leave the driver before the next.
     """
-    distinct = queries.distinct()
+    spark = rows.sparkSession
+    distinct = stage(queries.select("vec_id", "whole").distinct(), "queries")
     rounds = max(1, -(-distinct.count() // round_queries))
     turn = F.pmod(F.xxhash64("vec_id", "whole"), F.lit(rounds))
-    results = None
+    schema = "query_id long, vec_id long, score long"
+    path = scratch_path(spark, "rounds")
     for number in range(rounds):
         some = distinct.where(turn == number).toArrow().to_pylist()
         some = [(i, q["vec_id"], np.array(q["whole"], np.int64)) for i, q in enumerate(some)]
-        found = rows.select("vec_id", "whole").mapInArrow(_search(some, k), "query_id long, vec_id long, score long")
-        results = found if results is None else results.unionByName(found)
+        found = rows.select("vec_id", "whole").mapInArrow(_search(some, k), schema)
+        found.write.mode("append").parquet(path)
+    discard(distinct)
+    results = spark.read.schema(schema).parquet(path)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = results.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -43,3 +43,18 @@ def test_awkward_vectors(spark):
     assert sorted((r.query_id, r.vec_id) for r in found) == [(1, 6), (1, 6), (6, 1)]
     none = table.where("vec_id < 0")
     assert maxscore.top_k(none, none).count() == 0 and maxscore.top_k(none, table).count() == 0
+
+
+def test_rounds_and_several_vectors_of_one_query(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.randint(-9, 9) for _ in range(5)]) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, whole array<long>")
+    asked = [(7, [1, 2, 3, 4, 5]), (7, [5, 4, 3, 2, 1]), (7, [5, 4, 3, 2, 1]), (8, [0, 0, 0, 0, 0])]
+    found = maxscore.top_k(table, spark.createDataFrame(asked, table.schema), k=6, round_queries=1)
+    got = {}
+    for r in sorted(found.collect()):
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    for q in (7, 8):
+        vectors = {tuple(v) for i, v in asked if i == q}
+        scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for v in vectors for i, w in rows if i != q)
+        assert got[q] == scores[:6]
