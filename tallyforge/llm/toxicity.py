@@ -24,11 +24,12 @@ from tallyforge.llm.common import byte_slices, crc_fold, discard, small_batches,
 # What a look-alike symbol may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b",
-    "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "*": "",
+    "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e",
+    "*": "abcdefghijklmnopqrstuvwxyz",
 }
 LETTERS = 27  # a to z, and 0 for anything else
 CHANNEL = {"same": 0.0, "lookalike": 2.0, "drop": 1.5}
-# Longer spellings are not kept for the next time, and are also read as several words.
+# Longer spellings are not kept for the next time.
 MAX_WORD = 64
 BEGINNINGS = (4, 5, 6)
 PRIOR = 10.0
@@ -50,6 +51,7 @@ _EDGES = re.compile(r"^[^\w@$]+|[^\w@$!]+$")
 _GAPS = re.compile(r"[ ._*-]+")
 # What joins words: all but letters and look-alikes, or look-alike symbols too.
 _JOINTS = (re.compile(r"[^\w@$!|+(€*]+|_+"), re.compile(r"[\W_]+"))
+_JOINED = re.compile(r"[^\W_][\W_]+[^\W_]")
 
 
 def code_of(letter: str) -> int:
@@ -95,7 +97,8 @@ def decode(word: str, costs: list, breaks: bool = False) -> str:
     """The likeliest plain word behind ``word``, by Viterbi over its lattice.
 
     A state is the last two letters with the word written so far; a character may stay, become
-    a letter it looks like, or vanish if it repeats the one before. With ``breaks`` a space may
+    a letter it looks like, or vanish if it repeats the one before. A star masks any letter or
+    none. With ``breaks`` a space may
     come before any letter. Ties go to the least word. What all states have written alike is
     put aside every MAX_WORD characters, so a spelling may have any length.
     """
@@ -104,7 +107,7 @@ def decode(word: str, costs: list, breaks: bool = False) -> str:
     for at, char in enumerate(word, 1):
         options = [(char, CHANNEL["same"])] if char.isalpha() else []
         options += [(c, CHANNEL["lookalike"]) for c in LOOKALIKES.get(char, "")]
-        if char == before or not options:
+        if char == before or char == "*" or not options:
             options.append(("", CHANNEL["drop"]))
         before = char
         found: dict[tuple[int, int], tuple[float, str]] = {}
@@ -135,6 +138,7 @@ class Restorer:
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
         self.plain: dict[str, str] = {}
+        self.parts: dict[str, set[str]] = {}
 
     def word(self, word: str) -> str:
         found = self.plain.get(word)
@@ -148,12 +152,19 @@ class Restorer:
         return found
 
     def joined(self, word: str) -> set[str]:
-        """The words in a long spelling: between what may join them, and where breaks are likeliest."""
+        """The words in a joined or long spelling: between what may join them, and where breaks are likeliest."""
+        kept = self.parts.get(word)
+        if kept is not None:
+            return kept
         found: set[str] = set()
         for joint in _JOINTS:
             found.update(self.word(w) for w in set(joint.split(word)))
         if odd(word):
             found.update(decode(word, self.costs, breaks=True).split())
+        if len(word) <= MAX_WORD:
+            if len(self.parts) >= KNOWN_WORDS:
+                self.parts.clear()
+            self.parts[word] = found
         return found
 
     def spaced(self, run: str) -> set[str]:
@@ -185,7 +196,7 @@ class Restorer:
         spellings = set(text.split())
         found = {self.word(w) for w in spellings}
         for spelling in spellings:
-            if len(spelling) > MAX_WORD:
+            if len(spelling) > MAX_WORD or _JOINED.search(spelling):
                 found |= self.joined(spelling)
         for match in _SPACED.finditer(text):
             found |= self.spaced(match[0])

@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import awkward
@@ -55,7 +57,7 @@ def test_decoding_is_the_best_of_all_spellings(spark):
         char = word[0]
         options = [(char, 0.0)] if char.isalpha() else []
         options += [(c, 2.0) for c in toxicity.LOOKALIKES.get(char, "")]
-        if char == before or not options:
+        if char == before or char == "*" or not options:
             options.append(("", 1.5))
         for o in options:
             for rest in every(word[1:], char):
@@ -74,6 +76,30 @@ def test_obfuscated_words_are_caught(spark):
     assert got[4] == got[5] == pytest.approx(model.base)
 
 
+def test_short_joined_and_masked_words(spark):
+    model = model_of(spark)
+    restorer = toxicity.Restorer(model.costs)
+    for text in ("river-1d10t", "a.garden/and_1d10t,winter", "the-id1ot", "stone--IDIOT", "an id*ot there", "an i*iot"):
+        assert "idiot" in restorer.words(text), text
+    assert {"river", "stone", "market"} <= restorer.words("river-stone/market")
+    assert restorer.word("win*ter") == "winter" and restorer.word("w*nter") == "winter"
+    texts = ["silver-1d10t", "silver-idiom", "river*stone winter's garden, a.b.c 3.5"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert got[0] >= toxicity.THRESHOLD > max(got[1], got[2])
+
+
+def test_scores_are_those_of_a_tiny_lexicon():
+    costs = np.ones((toxicity.LETTERS,) * 3)
+    model = toxicity.Model(costs, {"idiot": 0.9, "fool": 0.6}, {"stup": 0.5}, 0.1)
+    texts = ["a fool", "a fool fool and an idiot", "stupid", "stup", "clean", ""]
+    share = {"fool": 0.6, "idiot": 0.9, "stupid": 0.5}
+    batch = pa.RecordBatch.from_pylist([{"row": {"text": t}} for t in texts])
+    (got,) = toxicity._score(model)([batch])
+    want = [1 - 0.9 * math.prod(1 - share.get(w, 0) for w in set(t.split())) for t in texts]
+    assert got.column("score").to_pylist() == pytest.approx(want)
+
+
 def test_held_out_accuracy(spark, medium):
     labels = dict(map(tuple, spark.read.parquet(f"{medium}/labels.parquet").select("doc_id", "toxic").collect()))
     rows = queries.op7_toxicity(spark, medium).collect()
