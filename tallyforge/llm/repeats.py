@@ -9,8 +9,8 @@ position in eighteen, and the string starts that share an anchor form a run.
    that occurs once settles its whole run. A run whose full rank occurs in a smaller document is covered.
 2. Offset 33: runs left stay only on a side (17 bytes before or after the gram) whose
    rank occurs again under the same gram; the others are unique from there on.
-3. Offset 50, the threshold: the starts left are sorted by the rank of their whole string,
-   and those whose string starts in a smaller document are covered.
+3. Offset 50, the threshold: every start left has the rank of its whole string; the least
+   document of each rank is joined back, and starts in larger documents are covered.
 
 Ranks are fingerprints of the bytes: 48 bits of the gram and 80 of the run in the first
 sort, 128 in the last, so no table of ranks has to be carried from one offset to the next.
@@ -276,86 +276,73 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(held)
 
 
-OPEN_SCHEMA = "side long, doc_id long, place long, body binary"
+START_SCHEMA = "high long, low long, doc_id long, place long"
 
 
-def _open_strings(length: int):
-    """The bytes of each open run's starts, once for each side that is still shared."""
+def _open_starts(length: int):
+    """Each open start with the 128-bit rank of its whole string.
+
+    A start is open where the side that its string holds whole is still shared. Equal strings
+    have equal anchors, so they are open, or not, in all documents alike.
+    """
     left = (length - GRAM) // 2
+    size = STRINGS * 2 * length  # a run has fewer starts than a string has bytes
+    first, second = SubstringHash(size), SubstringHash(size, _ODD_2, 11)
+
+    def ranked(runs: list[tuple]) -> pa.RecordBatch:
+        docs, places, bodies = zip(*runs, strict=True)
+        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+        counts = sizes - length + 1
+        number = np.repeat(np.arange(len(runs)), counts)
+        inner = np.arange(len(number)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = (np.cumsum(sizes) - sizes)[number] + inner
+        data = np.frombuffer(b"".join(bodies), np.uint8)
+        columns = []
+        for hashes in (first, second):
+            hashes.load(data)
+            columns.append(hashes(at, length).view(np.int64))
+        # A place packs tag, start, an unused part and a count, here of one start.
+        columns += [np.array(docs, np.int64)[number], np.array(places, np.int64)[number] + (inner << 12)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["high", "low", "doc_id", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             texts = text_bytes(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
             tags = batch.column("tag").to_pylist()
             opens = batch.column("opens").to_pylist()
-            side, docs, places, bodies = [], [], [], []
             for doc, tag, raw, rows in zip(ids, tags, texts, opens, strict=True):
                 raw = raw.as_py()
                 for row in rows:
                     start, count = place_start(row["place"]), row["place"] & 63
                     # Starts before `split` hold the left side whole, those from it on the right one.
                     split = start + (row["place"] >> 6 & 63) - left
-                    for bit, rank, low, high in (
-                        (0, row["left"], start, min(start + count, split)),
-                        (1, row["right"], max(start, split), start + count),
+                    for rank, low, high in (
+                        (row["left"], start, min(start + count, split)),
+                        (row["right"], max(start, split), start + count),
                     ):
                         if rank > 0 and low < high:
-                            side.append((row["gram"] << 15) + (rank << 1) + bit)
-                            docs.append(doc)
-                            places.append(pack_place(tag, low, 0, high - low))
-                            bodies.append(raw[low : high - 1 + length])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(side, pa.int64()), pa.array(docs, pa.int64()),
-                 pa.array(places, pa.int64()), pa.array(bodies, pa.binary())],
-                ["side", "doc_id", "place", "body"],
-            )
+                            held.append((doc, pack_place(tag, low, 0, 1), raw[low : high - 1 + length]))
+                    if len(held) >= STRINGS - 1:
+                        yield ranked(held)
+                        held = []
+        if held:
+            yield ranked(held)
 
     return run
 
 
-def _repeated_strings(length: int):
-    """Starts whose whole string came before in a smaller document, from rows by side and doc_id."""
-    size = STRINGS * 2 * length  # a run has fewer starts than a string has bytes
-    first, second = SubstringHash(size), SubstringHash(size, _ODD_2, 11)
-
-    def work(rows: list[tuple], seen: dict) -> tuple[list, list]:
-        bodies = [r[3] for r in rows]
-        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
-        counts = sizes - length + 1
-        data = np.frombuffer(b"".join(bodies), np.uint8)
-        begin = np.cumsum(sizes) - sizes
-        number = np.repeat(np.arange(len(rows)), counts)
-        inner = np.arange(len(number)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = begin[number] + inner
-        first.load(data)
-        second.load(data)
-        a, b = first(at, length).tolist(), second(at, length).tolist()
-        docs, places = [], []
-        for n, i, x, y in zip(number.tolist(), inner.tolist(), a, b, strict=True):
-            side, doc, place, _ = rows[n]
-            if seen.setdefault((side, x, y), doc) < doc:
-                docs.append(doc)
-                places.append(place + (i << 12) - (place & 63) + 1)
-        return docs, places
+def _covered_starts(starts: DataFrame) -> DataFrame:
+    """(doc_id, place) of starts whose rank is also that of a smaller document.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict = {}
-        now = None
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("side", "doc_id", "place", "body")]
-            rows = list(zip(*columns, strict=True))
-            for low in range(0, len(rows), STRINGS):
-                part = rows[low : low + STRINGS]
-                docs, places = work(part, seen)
-                if part[-1][0] != now or len(seen) > 1 << 16:
-                    now = part[-1][0]
-                    seen = {k: v for k, v in seen.items() if k[0] == now}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(places, pa.int64())], ["doc_id", "place"]
-                )
-
-    return run
+    The least and the largest document of a rank are found with partial sums in every task, and
+    only ranks of several documents are joined back, so no task holds what shares a gram or a
+    string; adaptive execution splits a rank that many starts have.
+    """
+    ranks = starts.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    shared = ranks.where("least < most").drop("most")
+    return starts.join(shared, ["high", "low"]).where("doc_id > least").select("doc_id", "place")
 
 
 def spans_of(places: list[int], length: int) -> list[tuple[int, int]]:
@@ -421,15 +408,13 @@ def repeated_places(docs: DataFrame, length: int = 50) -> DataFrame:
     opens = settled.where("left >= 0").groupBy("doc_id", tag).agg(
         F.collect_list(F.struct("place", "gram", "left", "right")).alias("opens")
     )
-    strings = usable.join(opens, ["doc_id", "tag"]).mapInArrow(_open_strings(length), OPEN_SCHEMA)
-    repeated = stage(
-        strings.repartition("side").sortWithinPartitions("side", "doc_id")
-        .mapInArrow(_repeated_strings(length), "doc_id long, place long"),
-        "repeated",
+    starts = stage(
+        usable.join(opens, ["doc_id", "tag"]).mapInArrow(_open_starts(length), START_SCHEMA), "starts"
     )
+    repeated = _covered_starts(starts)
     found = settled.where("left < 0").select("doc_id", "place").unionByName(repeated)
     places = stage(found.groupBy("doc_id", tag).agg(F.collect_list("place").alias("places")), "places")
-    discard(settled, repeated)
+    discard(settled, starts)
     return places
 
 

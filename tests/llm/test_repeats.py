@@ -88,3 +88,29 @@ def test_split_characters_go(spark):
 def test_too_short_strings():
     with pytest.raises(ValueError):
         repeats.Runs(10)
+
+
+def test_hot_template_with_distinct_tails(spark, monkeypatch):
+    """Hundreds of documents share one gram and side, but most whole strings differ."""
+    monkeypatch.setattr(repeats, "GROUP_ROWS", 64)
+    monkeypatch.setattr(repeats, "STRINGS", 16)
+    rng = random.Random(3)
+    template = "all rights are kept by the town"
+    tails = ["".join(rng.choices("abcdefgh", k=60)) for _ in range(120)]
+    texts = [(i, rng.choice(["", "x" * (i % 7)]) + template + tails[rng.randrange(i % 120 + 1)] + template) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    found = repeats.remove_repeats(docs, 50).select(
+        "row.doc_id",
+        F.octet_length("row.text").cast("long"),
+        (F.octet_length("row.text") - F.octet_length("kept")).cast("long"),
+        F.size("spans").cast("long"),
+        F.sha2("kept", 256),
+    )
+    assert sorted(map(tuple, found.collect())) == expected([(i, t.encode()) for i, t in texts], 50)
+
+
+def test_the_least_document_of_a_rank_stays(spark):
+    rows = [(1, 1, 5, 10), (1, 1, 3, 11), (1, 1, 3, 12), (1, 2, 9, 13), (2, 1, 4, 14), (2, 1, 4, 15)]
+    starts = spark.createDataFrame(rows, repeats.START_SCHEMA)
+    assert sorted(map(tuple, repeats._covered_starts(starts).collect())) == [(5, 10)]
+    assert repeats._covered_starts(starts.where("high > 9")).count() == 0
