@@ -9,8 +9,9 @@ position in eighteen, and the string starts that share an anchor form a run.
    that occurs once settles its whole run. A run whose full rank occurs in a smaller document is covered.
 2. Offset 33: runs left stay only on a side (17 bytes before or after the gram) whose
    rank occurs again under the same gram; the others are unique from there on.
-3. Offset 50, the threshold: every start left has the rank of its whole string; the least
-   document of each rank is joined back, and starts in larger documents are covered.
+3. Offset 50, the threshold: the starts left are sorted by side and the rank of their whole
+   string, and those whose string starts in a smaller document are covered. Where a side has
+   many runs, the least document of each string rank is joined back instead.
 
 Ranks are fingerprints of the bytes: 48 bits of the gram and 80 of the run in the first
 sort, 128 in the last, so no table of ranks has to be carried from one offset to the next.
@@ -31,6 +32,9 @@ CHUNK = 1 << 19
 GROUP_ROWS = 1 << 18
 SIDE_RANKS = (1 << 14) - 1
 STRINGS = 4096
+# A side with more runs is ranked by its whole strings in a shuffle, not within one task.
+SIDE_ROWS = 2048
+HOT = 1 << 20
 _POSITION = np.uint64((1 << 20) - 1)
 _ODD = 0x9E3779B97F4A7C15
 _ODD_2 = 0xD6E8FEB86659FD93
@@ -210,25 +214,27 @@ def _slice_runs(runs: Runs, texts, ids, tags) -> pa.RecordBatch:
 SETTLED = "doc_id long, place long, gram long, left long, right long"
 
 
-def _shared(group: np.ndarray, side: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """Rows whose side's rank occurs in more than one run of the group; 0 is no rank."""
+def _shared(group: np.ndarray, side: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose side's rank occurs in more than one run of the group, and in more than SIDE_ROWS
+    rows; 0 is no rank."""
     order = np.lexsort((run, side, group))
     g, s, r = group[order], side[order], run[order]
     fresh = np.append(True, (g[1:] != g[:-1]) | (s[1:] != s[:-1]))
     other = np.append(False, (r[1:] != r[:-1])) & ~fresh
     number = np.cumsum(fresh) - 1
     many = np.bincount(number, other, minlength=number[-1] + 1) > 0
-    out = np.zeros(len(group), bool)
-    out[order] = many[number] & (s != 0)
-    return out
+    shared, hot = np.zeros(len(group), bool), np.zeros(len(group), bool)
+    shared[order] = many[number] & (s != 0)
+    hot[order] = np.bincount(number)[number] > SIDE_ROWS
+    return shared, hot
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs sorted by gram, context and doc_id: covered ones and those that stay open.
 
     An open run carries its gram and the rank of each side that occurs again (else 0); a
-    covered one has -1 there. The rows of one gram are held together up to GROUP_ROWS; of a
-    larger group both sides of every run stay open.
+    covered one has -1 there. HOT marks a side of many runs. The rows of one gram are held
+    together up to GROUP_ROWS; of a larger group both sides of every run stay open, as hot ones.
     """
     names = ("gram", "context", "doc_id", "place")
     held = np.zeros((4, 0), np.int64)
@@ -253,7 +259,9 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(rest):
             run, wide = np.cumsum(fresh)[rest], key[rest] == giant
             for side, out in ((before[rest], left), (after[rest], right)):
-                out[rest] = np.where(wide | _shared(key[rest], side, run), side, 0)
+                shared, hot = _shared(key[rest], side, run)
+                named = np.where(wide | hot, side | HOT, side)
+                out[rest] = np.where((wide & (side > 0)) | shared, named, 0)
         keep = covered | (left > 0) | (right > 0)
         left, right = np.where(covered, -1, left), np.where(covered, -1, right)
         columns = [doc[keep], place[keep], key[keep], left[keep], right[keep]]
@@ -276,59 +284,119 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(held)
 
 
-START_SCHEMA = "high long, low long, doc_id long, place long"
+OPEN_SCHEMA = "high long, low long, doc_id long, place long, body binary"
 
 
-def _open_starts(length: int):
-    """Each open start with the 128-bit rank of its whole string.
+class StringRanks:
+    """128-bit ranks of the strings of ``length`` bytes in up to STRINGS runs of starts."""
 
-    A start is open where the side that its string holds whole is still shared. Equal strings
-    have equal anchors, so they are open, or not, in all documents alike.
-    """
-    left = (length - GRAM) // 2
-    size = STRINGS * 2 * length  # a run has fewer starts than a string has bytes
-    first, second = SubstringHash(size), SubstringHash(size, _ODD_2, 11)
+    def __init__(self, length: int):
+        self.length = length
+        size = STRINGS * 2 * length  # a run has fewer starts than a string has bytes
+        self.first, self.second = SubstringHash(size), SubstringHash(size, _ODD_2, 11)
 
-    def ranked(runs: list[tuple]) -> pa.RecordBatch:
-        docs, places, bodies = zip(*runs, strict=True)
+    def __call__(self, bodies: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(number of the body, place in it, high, low) of every string."""
         sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
-        counts = sizes - length + 1
-        number = np.repeat(np.arange(len(runs)), counts)
+        counts = sizes - self.length + 1
+        number = np.repeat(np.arange(len(bodies)), counts)
         inner = np.arange(len(number)) - np.repeat(np.cumsum(counts) - counts, counts)
         at = (np.cumsum(sizes) - sizes)[number] + inner
         data = np.frombuffer(b"".join(bodies), np.uint8)
-        columns = []
-        for hashes in (first, second):
-            hashes.load(data)
-            columns.append(hashes(at, length).view(np.int64))
-        # A place packs tag, start, an unused part and a count, here of one start.
-        columns += [np.array(docs, np.int64)[number], np.array(places, np.int64)[number] + (inner << 12)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["high", "low", "doc_id", "place"])
+        self.first.load(data)
+        self.second.load(data)
+        high, low = (h(at, self.length).view(np.int64) for h in (self.first, self.second))
+        return number, inner, high, low
+
+
+def _open_rows(length: int):
+    """Open runs, once for each side that is still shared.
+
+    A run of an ordinary side is a row with the side and the bytes of its starts. A hot side
+    is dealt finer: each start is a row with the rank of its whole string and no bytes.
+    """
+    left = (length - GRAM) // 2
+    ranks = StringRanks(length)
+
+    def rows_of(runs: list[tuple], hot: list[tuple]) -> pa.RecordBatch:
+        side, docs, places, bodies = zip(*runs, strict=True) if runs else ((), (), (), ())
+        columns = [np.array(c, np.int64) for c in (side, [0] * len(side), docs, places)]
+        if hot:
+            hot_docs, hot_places, strings = zip(*hot, strict=True)
+            number, inner, high, low = ranks(list(strings))
+            at = np.array(hot_places, np.int64)[number] + (inner << 12)
+            more = [high, low, np.array(hot_docs, np.int64)[number], at]
+            columns = [np.concatenate(c) for c in zip(columns, more, strict=True)]
+        body = pa.array([*bodies, *([None] * (len(columns[0]) - len(bodies)))], pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [*map(pa.array, columns), body], ["high", "low", "doc_id", "place", "body"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        runs: list[tuple] = []
+        hot: list[tuple] = []
         for batch in batches:
             texts = text_bytes(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
             tags = batch.column("tag").to_pylist()
             opens = batch.column("opens").to_pylist()
-            for doc, tag, raw, rows in zip(ids, tags, texts, opens, strict=True):
+            for doc, tag, raw, found in zip(ids, tags, texts, opens, strict=True):
                 raw = raw.as_py()
-                for row in rows:
+                for row in found:
                     start, count = place_start(row["place"]), row["place"] & 63
                     # Starts before `split` hold the left side whole, those from it on the right one.
                     split = start + (row["place"] >> 6 & 63) - left
-                    for rank, low, high in (
-                        (row["left"], start, min(start + count, split)),
-                        (row["right"], max(start, split), start + count),
+                    for bit, rank, low, high in (
+                        (0, row["left"], start, min(start + count, split)),
+                        (1, row["right"], max(start, split), start + count),
                     ):
-                        if rank > 0 and low < high:
-                            held.append((doc, pack_place(tag, low, 0, 1), raw[low : high - 1 + length]))
-                    if len(held) >= STRINGS - 1:
-                        yield ranked(held)
-                        held = []
-        if held:
-            yield ranked(held)
+                        if rank <= 0 or low >= high:
+                            continue
+                        body = raw[low : high - 1 + length]
+                        if rank & HOT:
+                            hot.append((doc, pack_place(tag, low, 0, 1), body))
+                        else:
+                            side = (row["gram"] << 15) + (rank << 1) + bit
+                            runs.append((side, doc, pack_place(tag, low, 0, high - low), body))
+                    if len(hot) >= STRINGS - 1 or len(runs) >= STRINGS:
+                        yield rows_of(runs, hot)
+                        runs, hot = [], []
+        if runs or hot:
+            yield rows_of(runs, hot)
+
+    return run
+
+
+def _repeated_strings(length: int):
+    """Starts whose whole string came before in a smaller document, from rows by side and doc_id.
+
+    The strings of one side, of at most SIDE_ROWS runs, are held together.
+    """
+    ranks = StringRanks(length)
+
+    def work(rows: list[tuple], seen: dict) -> tuple[list, list]:
+        number, inner, high, low = (c.tolist() for c in ranks([r[3] for r in rows]))
+        docs, places = [], []
+        for n, i, x, y in zip(number, inner, high, low, strict=True):
+            side, doc, place, _ = rows[n]
+            if seen.setdefault((side, x, y), doc) < doc:
+                docs.append(doc)
+                places.append(place + (i << 12) - (place & 63) + 1)
+        return docs, places
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("high", "doc_id", "place", "body")]
+            rows = list(zip(*columns, strict=True))
+            for low in range(0, len(rows), STRINGS):
+                part = rows[low : low + STRINGS]
+                docs, places = work(part, seen)
+                now = part[-1][0]
+                seen = {k: v for k, v in seen.items() if k[0] == now}
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs, pa.int64()), pa.array(places, pa.int64())], ["doc_id", "place"]
+                )
 
     return run
 
@@ -408,13 +476,18 @@ def repeated_places(docs: DataFrame, length: int = 50) -> DataFrame:
     opens = settled.where("left >= 0").groupBy("doc_id", tag).agg(
         F.collect_list(F.struct("place", "gram", "left", "right")).alias("opens")
     )
-    starts = stage(
-        usable.join(opens, ["doc_id", "tag"]).mapInArrow(_open_starts(length), START_SCHEMA), "starts"
+    opened = stage(
+        usable.join(opens, ["doc_id", "tag"]).mapInArrow(_open_rows(length), OPEN_SCHEMA), "opened"
+    )
+    repeated = (
+        opened.where("body is not null")
+        .repartition("high").sortWithinPartitions("high", "doc_id")
+        .mapInArrow(_repeated_strings(length), "doc_id long, place long")
+        .unionByName(_covered_starts(opened.where("body is null")))
     )
-    repeated = _covered_starts(starts)
     found = settled.where("left < 0").select("doc_id", "place").unionByName(repeated)
     places = stage(found.groupBy("doc_id", tag).agg(F.collect_list("place").alias("places")), "places")
-    discard(settled, starts)
+    discard(settled, opened)
     return places
 
 

@@ -90,9 +90,11 @@ def test_too_short_strings():
         repeats.Runs(10)
 
 
-def test_hot_template_with_distinct_tails(spark, monkeypatch):
+@pytest.mark.parametrize("group_rows,side_rows", [(64, 2048), (1 << 18, 8), (1 << 18, 2048)])
+def test_hot_template_with_distinct_tails(spark, monkeypatch, group_rows, side_rows):
     """Hundreds of documents share one gram and side, but most whole strings differ."""
-    monkeypatch.setattr(repeats, "GROUP_ROWS", 64)
+    monkeypatch.setattr(repeats, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(repeats, "SIDE_ROWS", side_rows)
     monkeypatch.setattr(repeats, "STRINGS", 16)
     rng = random.Random(3)
     template = "all rights are kept by the town"
@@ -111,6 +113,6 @@ def test_hot_template_with_distinct_tails(spark, monkeypatch):
 
 def test_the_least_document_of_a_rank_stays(spark):
     rows = [(1, 1, 5, 10), (1, 1, 3, 11), (1, 1, 3, 12), (1, 2, 9, 13), (2, 1, 4, 14), (2, 1, 4, 15)]
-    starts = spark.createDataFrame(rows, repeats.START_SCHEMA)
+    starts = spark.createDataFrame(rows, "high long, low long, doc_id long, place long")
     assert sorted(map(tuple, repeats._covered_starts(starts).collect())) == [(5, 10)]
     assert repeats._covered_starts(starts.where("high > 9")).count() == 0
