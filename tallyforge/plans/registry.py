@@ -1075,7 +1075,7 @@ def x2_prepare_and_load(spark, sf_dir):
 @query
 def x3_stage_precondition(spark, sf_dir):
     space = stages.Workspace(spark, scratch_path(spark, "workspace"))
-    write_table(coarse_clean(spark, sf_dir), space.path("clean"))
+    space.write("clean", coarse_clean(spark, sf_dir))
     found = space.read("clean", "cleaning").agg(F.count("*").alias("lignes"))
     try:
         stages.prepare_anomalies(space)
