@@ -1,3 +1,6 @@
+import csv
+import random
+
 import pytest
 from pyspark.errors import SparkRuntimeException
 
@@ -121,3 +124,27 @@ def test_line_ends_in_quotes_and_rejected_lines(spark, tmp_path):
     assert [(r.a, r.b) for r in rows] == [("1", "x\ny"), ("2", "z")]
     rejected = rejected_lines(spark, str(path), line_ends_in_quotes=True).collect()
     assert [r.line for r in rejected] == ["3;4;5"] and rejected[0].file.endswith("quoted.csv")
+
+
+def test_quoted_line_ends_run_over_many_splits(spark, tmp_path):
+    rng = random.Random(5)
+    values = ["", "x", "NA", 'say "no"', "a;b", "two\nlines", '"\n;"\n', ";\n\n;", 'end"', "\r\nz", "long " * 40 + "\n" + "w" * 90]
+    rows = [[str(i), rng.choice(values), rng.choice(values)] for i in range(600)]
+    path = tmp_path / "quoted"
+    path.mkdir()
+    for part in range(3):
+        with open(path / f"part-{part}.csv", "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, delimiter=";", lineterminator="\r\n" if part == 1 else "\n")
+            writer.writerow(["n", "a b", "c`d"])
+            writer.writerows(rows[part * 200 : part * 200 + 200])
+            out.write('\n9000;5" wide;x\n' if part == 2 else "")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 20
+        found = read_delimited(spark, str(path), line_ends_in_quotes=True).orderBy(ROW_INDEX).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    expected = [[None if v in ("", "NA") else v for v in row] for row in [*rows, ["9000", '5" wide', "x"]]]
+    assert [list(r)[:3] for r in found] == expected
+    assert [r[ROW_INDEX] for r in found] == list(range(601))
