@@ -284,6 +284,14 @@ def build() -> dict[str, str]:
       (select count(*) from recon where not "Concordance") as ecarts_avec_totaux_officiels from clean"""
     sqls["s6_serving_table_load"] = f"""with {FINE_CLEAN}, n as (select count(*) as lignes from clean)
       select 'force' as appel, lignes from n union all select 'sans force', lignes from n"""
+    sqls["s6_period_swap"] = f"""with {FINE_SERVING}, changed as (
+        select case when annee = '1994' and saisine_plaintes_directes % 2 = 0 then '1994-S2' else annee end as annee,
+          saisine_plaintes_directes + case when annee = '1995' then 1 else 0 end as saisine_plaintes_directes
+        from serving where annee <> '1993'),
+      steps as (select 'avant' as etape, annee, saisine_plaintes_directes as n from serving
+        union all select 'entre', annee, saisine_plaintes_directes from serving
+        union all select 'apres', annee, saisine_plaintes_directes from changed)
+      select etape, annee, count(*) as lignes, sum(n)::bigint as plaintes from steps group by 1, 2"""
     sqls["s7_read_prepared"] = f"""with {RECONCILED} select * from recon"""
     sqls["s8_listing_export"] = f"""with {SERVING} select {_LISTING} from serving
       order by plaintes_directes desc, record_id limit 1000"""

@@ -165,6 +165,30 @@ def s6_serving_table_load(spark, sf_dir):
     return spark.createDataFrame([("force", forced), ("sans force", kept)], "appel string, lignes long")
 
 
+@query
+def s6_period_swap(spark, sf_dir):
+    """Rows by period before, between and after a load that changes, adds and drops periods."""
+    frame = fine_serving(spark, sf_dir)
+    table, path = "tallyforge_swapped", scratch_path(spark, "serving")
+    changed = frame.where("annee <> '1993'").withColumns({
+        "saisine_plaintes_directes": F.expr("saisine_plaintes_directes + if(annee = '1995', 1, 0)"),
+        "annee": F.expr("if(annee = '1994' and saisine_plaintes_directes % 2 = 0, '1994-S2', annee)"),
+    })
+
+    def state(step: str) -> DataFrame:
+        found = spark.table(table).groupBy("annee").agg(
+            F.count("*").alias("lignes"), F.sum("saisine_plaintes_directes").alias("plaintes")
+        )
+        return materialize(found.select(F.lit(step).alias("etape"), "*"), "state")
+
+    load_serving_table(frame, table, force=True, path=path)
+    steps = [state("avant")]
+    load_serving_table(changed, table, path=path)
+    steps.append(state("entre"))
+    load_serving_table(changed, table, force=True, path=path)
+    return reduce(DataFrame.unionByName, [*steps, state("apres")])
+
+
 @query
 def s7_read_prepared(spark, sf_dir):
     path = scratch_path(spark, "reconciliation")
