@@ -538,6 +538,41 @@ def build() -> dict[str, str]:
       union all select 'profil_clusters', count(distinct cluster) from serving
       union all select 'anomalies', least(500, count(*)) from serving where est_anomalie
       union all select 'ecarts', count(*) from recon where "Total_detail" <> "Total_officiel" """
+    none = "null::double"
+    shown = """concat_ws('|', record_id, annee, categorie, infraction, niveau_anomalie, raisons_anomalie) as cle,
+      concat_ws('|', saisine_plaintes_directes, total_saisines, total_victimes, interpelles, resultats_def, cluster, est_anomalie) as valeurs,
+      pca_1::double as reel_1, pca_2::double as reel_2, score_anomalie::double as reel_3, null::double as reel_4"""
+    summed = "sum(saisine_plaintes_directes), sum(total_victimes), sum(interpelles), sum(resultats_def)"
+    first_rows = "order by saisine_plaintes_directes desc, record_id limit 1000"
+    means = ", ".join(
+        f"{rnd(f'avg({c})', 2)} as reel_{i}" for i, c in enumerate(["total_saisines", "total_victimes", "interpelles", "resultats_def"], 1)
+    )
+    views = {
+        "annees": f"select distinct annee, '', {none}, {none}, {none}, {none} from serving",
+        "categories": f"select distinct categorie, '', {none}, {none}, {none}, {none} from serving",
+        "resume": f"""select '1996|LARGE', concat_ws('|', count(*), sum(saisine_plaintes_directes), sum(total_saisines),
+          sum(total_victimes), sum(interpelles), sum(resultats_def), count(*) filter (where est_anomalie)),
+          {none}, {none}, {none}, {none} from serving where annee = '1996' and categorie = 'LARGE'""",
+        "principales_infractions": f"""select infraction, valeur::varchar, {none}, {none}, {none}, {none} from (
+          select infraction, sum(saisine_plaintes_directes) as valeur from serving where annee = '1996'
+          group by 1 order by 2 desc, 1 limit 15)""",
+        "comparaison_periodes": f"""select annee, concat_ws('|', {summed}), {none}, {none}, {none}, {none} from serving group by annee""",
+        "donnees_filtrees": f"""select {shown} from (select * from serving where annee = '1996' and categorie = 'LARGE' {first_rows})""",
+        "nuage_clusters": f"""select {shown} from (select * from serving {first_rows})
+          where cluster is not null and pca_1 is not null and pca_2 is not null""",
+        "profil_clusters": f"""select '', concat_ws('|', cluster, count(*)), {means} from serving where cluster is not null group by cluster""",
+        "anomalies": f"""select concat_ws('|', record_id, annee, categorie, infraction, niveau_anomalie, raisons_anomalie),
+          concat_ws('|', saisine_plaintes_directes, total_victimes, interpelles), score_anomalie::double, {none}, {none}, {none}
+          from (select * from serving where est_anomalie and niveau_anomalie = '{S.LEVEL_MEDIUM}'
+            order by score_anomalie desc nulls last, record_id limit 500)""",
+        "ecarts": f"""select concat_ws('|', "Annee", "Indicateur"),
+          concat_ws('|', "Total_detail", "Total_officiel", "Total_detail" - "Total_officiel", "Total_detail" = "Total_officiel"),
+          {none}, {none}, {none}, {none} from recon where "Total_detail" <> "Total_officiel" """,
+    }
+    columns = "cle, valeurs, reel_1, reel_2, reel_3, reel_4"
+    sqls["x4_feed_contents"] = listed.rstrip(", ") + " " + " union all ".join(
+        f"select '{name}' as vue, {columns} from ({sql}) as v({columns})" for name, sql in views.items()
+    )
     sqls["v1_required_columns"] = f"""with {FINE} select count(*) as lignes, true as complet_accepte, false as incomplet_accepte from cells"""
     sqls["v3_parameter_bounds"] = f"""with {FINE_CLEAN}, n as (select count(*) as n from clean)
       select limite::bigint as limite, limite between 1 and 1000 as accepte,

@@ -1117,3 +1117,11 @@ def x4_dashboard_feeds(spark, sf_dir):
         for name, frame in views.items()
     ]
     return reduce(DataFrame.unionByName, sizes)
+
+
+@query
+def x4_feed_contents(spark, sf_dir):
+    """Every row of every view, with a period and a level chosen."""
+    served = materialize(fine_serving(spark, sf_dir), "serving")
+    chosen = {"annee": "1996", "categorie": "LARGE", "niveau": S.LEVEL_MEDIUM}
+    return dashboard.contents(dashboard.feeds(served, reconciliation(spark, sf_dir), **chosen))
