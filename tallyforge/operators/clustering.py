@@ -25,8 +25,11 @@ VECTOR = "_features"
 # The least share of a cluster, the field names of the sweep and of the document.
 MIN_SHARE = 0.05
 LARGEST_K = 6
-BLOCK_POINTS = 8192
+BLOCK_POINTS = 32_768
+LEAST_BLOCK, LEAST_BLOCKS = 4096, 12
+NEAR = 1e-6  # of the largest squares, below which distances are taken from differences
 TILE_TASKS = 10_000
+TILE = 256, 1024  # distances held at once
 
 
 def scaled_names(features: list[str]) -> list[str]:
@@ -87,7 +90,7 @@ def euclidean_silhouette(
 
     The cost is quadratic in the distinct points and there is no limit to them. Points are
     dealt into blocks of bounded size by their hash; every two blocks meet in one task, which
-    adds up each point's distances to the other block per cluster. No pair is emitted and no
+    takes each distance once and adds it up for both of its points, per cluster. No pair is emitted and no
     block passes through the driver: a point is shuffled once per block. For large tables
     :func:`squared_silhouette` is linear, and a different number.
     """
@@ -96,7 +99,9 @@ def euclidean_silhouette(
     names = sorted(sizes)
     if len(names) < 2:
         return None
-    blocks = max(1, math.ceil(weighted.count() / block_points))
+    distinct = weighted.count()
+    # Few points make smaller blocks, so that there are tiles for several tasks.
+    blocks = max(1, math.ceil(distinct / block_points), min(LEAST_BLOCKS, math.ceil(distinct / LEAST_BLOCK)))
     axes, sums = [f"_x_{i}" for i in range(len(columns))], [f"_sum_{i}" for i in range(len(names))]
     places = F.array(*[F.lit(name) for name in names])
     dealt = weighted.select(
@@ -127,31 +132,52 @@ def euclidean_silhouette(
 def _distance_sums(axes: list[str], sums: list[str]):
     """Weighted distances between the points of two blocks, or within one, summed per cluster."""
 
-    def one_way(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        others = theirs[axes].to_numpy()
-        weights = np.zeros((len(theirs), len(sums)))
-        weights[np.arange(len(theirs)), theirs["own"].to_numpy()] = theirs["n"]
-        at, found = mine[axes].to_numpy(), np.zeros((len(mine), len(sums)))
-        for start in range(0, len(mine), 256):
-            part = slice(start, start + 256)
-            square = np.zeros((len(at[part]), len(others)))
-            for axis in range(len(axes)):
-                square += (at[part, axis, None] - others[None, :, axis]) ** 2
-            found[part] = np.sqrt(square) @ weights
+    def weights(rows: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((len(rows), len(sums)))
+        out[np.arange(len(rows)), rows["own"].to_numpy()] = rows["n"]
+        return out
+
+    def summed(rows: pd.DataFrame, found: np.ndarray) -> pd.DataFrame:
         out = pd.DataFrame(found, columns=sums)
         for name in ("n", "own", "point"):
-            out.insert(0, name, mine[name].to_numpy())
+            out.insert(0, name, rows[name].to_numpy())
         return out
 
     def tile(rows: pd.DataFrame) -> pd.DataFrame:
-        if rows["low"].iloc[0] == rows["high"].iloc[0]:
-            return one_way(rows, rows)
+        within = rows["low"].iloc[0] == rows["high"].iloc[0]
         first, second = rows[rows["block"] == rows["low"]], rows[rows["block"] == rows["high"]]
-        return pd.concat([one_way(first, second), one_way(second, first)])
+        one, two = first[axes].to_numpy(np.float64), second[axes].to_numpy(np.float64)
+        of_one, of_two = weights(first), weights(second)
+        to_one, to_two = np.zeros_like(of_one), np.zeros_like(of_two)
+        for low in range(0, len(one), TILE[0]):
+            part = slice(low, low + TILE[0])
+            for start in range(low if within else 0, len(two), TILE[1]):
+                other = slice(start, start + TILE[1])
+                far = distances(one[part], two[other])
+                if within:  # every two points once, a point with itself not at all
+                    far = np.where(np.arange(start, start + far.shape[1]) > np.arange(low, low + len(far))[:, None], far, 0.0)
+                to_one[part] += far @ of_two[other]
+                to_two[other] += far.T @ of_one[part]
+        if within:
+            return summed(first, to_one + to_two)
+        return pd.concat([summed(first, to_one), summed(second, to_two)])
 
     return tile
 
 
+def distances(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Plain distances by one product of matrices; those next to nothing by differences, so that 0 is 0."""
+    middle = two.mean(0)
+    one, two = one - middle, two - middle
+    ones, twos = (one * one).sum(1), (two * two).sum(1)
+    out = np.column_stack([-2 * one, ones, np.ones(len(one))]) @ np.column_stack([two, np.ones(len(two)), twos]).T
+    least = NEAR * (ones.max() + twos.max())
+    if out.min() <= least:
+        i, j = np.nonzero(out <= least)
+        out[i, j] = ((one[i] - two[j]) ** 2).sum(1)
+    return np.sqrt(out, out=out)
+
+
 def squared_silhouette(vectors: DataFrame, label: str, vector: str = VECTOR) -> float:
     """Mean silhouette with squared distances, in one linear pass."""
     evaluator = ClusteringEvaluator(featuresCol=vector, predictionCol=label, metricName="silhouette")

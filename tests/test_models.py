@@ -110,6 +110,28 @@ def test_euclidean_silhouette_matches_brute_force(spark):
     assert in_blocks == pytest.approx(found)
 
 
+def test_a_tile_takes_each_distance_once_and_keeps_ties(monkeypatch):
+    rng = np.random.default_rng(8)
+    points = np.vstack([rng.integers(0, 5, size=(700, 2)), rng.integers(0, 5, size=(1200, 2))]) + 1e7
+    block = np.repeat([0, 1], [700, 1200])
+    rows = pd.DataFrame({"a": points[:, 0], "b": points[:, 1], "own": np.arange(1900) % 2, "n": 1 + np.arange(1900) % 3})
+    rows = rows.assign(block=block, point=np.arange(1900), low=0, high=1)
+    taken, root = [], np.sqrt
+    monkeypatch.setattr(np, "sqrt", lambda x, **named: taken.append(x.size) or root(x, **named))
+    run = clustering._distance_sums(["a", "b"], ["s0", "s1"])
+    both = run(rows).set_index("point").sort_index()
+    assert sum(taken) == 700 * 1200
+    alone = run(rows[block == 0].assign(high=0)).set_index("point").sort_index()
+    far = root(((points[:, None] - points[None]) ** 2).sum(2))
+    weight = np.zeros((1900, 2))
+    weight[np.arange(1900), rows.own] = rows.n
+    other = np.where((block[:, None] != block[None])[:, :, None], weight[None], 0.0)
+    assert both[["s0", "s1"]].to_numpy() == pytest.approx(np.einsum("ij,ijk->ik", far, other))
+    assert alone[["s0", "s1"]].to_numpy() == pytest.approx(far[:700, :700] @ weight[:700])
+    same = run(rows.assign(a=2.0, b=3.0))[["s0", "s1"]].to_numpy()
+    assert not same.any()
+
+
 def test_metric_does_not_depend_on_the_size(spark, monkeypatch):
     monkeypatch.setattr(clustering, "BLOCK_POINTS", 10)
     vectors, _ = clustering.scaled_vectors(shape_rows(spark), S.CLUSTER_FEATURES, log=True)
