@@ -152,6 +152,17 @@ def _seeds(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.random.G
 # ---------------------------------------------------------------- Lloyd
 
 
+def _nearest(own: np.ndarray, centres: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``n`` fits and each point the first nearest of ``k`` centres, and its distance less the point's square."""
+    sides = np.column_stack([-2 * centres, (centres * centres).sum(1)]), np.vstack([own.T, np.ones(len(own))])
+    distance = (sides[0] @ sides[1]).reshape(n, k, len(own))
+    least, nearest = distance[:, 0].copy(), np.zeros((n, len(own)), np.int8 if k < 128 else np.int64)
+    for i in range(1, k):
+        np.copyto(nearest, i, where=distance[:, i] < least)
+        np.minimum(least, distance[:, i], out=least)
+    return nearest, least
+
+
 def _pass(points: DataFrame, columns: list[str], fits: list[Centres]) -> list[Centres]:
     """One pass for all fits; each comes back with its moved centres and what belongs to the old ones."""
     by_k: dict[int, list[int]] = {}
@@ -165,16 +176,16 @@ def _pass(points: DataFrame, columns: list[str], fits: list[Centres]) -> list[Ce
         sums = np.zeros((width + 3, total))
         for own, weight in _chunks(batches, columns):
             square = (own * own).sum(1)
+            values = np.vstack([weight, weight * own.T, weight * square])
             at = 0
             for k, centres in groups:
                 n = len(centres) // k
-                distance = ((centres * centres).sum(1) - 2 * own @ centres.T).reshape(len(own), n, k)
-                label = distance.argmin(2)
-                place = (label + np.arange(n) * k).ravel()
-                least = np.maximum(distance.min(2) + square[:, None], 0.0)
-                for row, value in enumerate([weight, *(weight * x for x in own.T), weight * square]):
-                    sums[row, at : at + n * k] += np.bincount(place, np.repeat(value, n), n * k)
-                sums[-1, at : at + n * k] += np.bincount(place, (least * weight[:, None]).ravel(), n * k)
+                nearest, least = _nearest(own, centres, n, k)
+                # A fit's cost is told by its first centre alone.
+                sums[-1, at : at + n * k : k] += np.maximum(least + square, 0.0) @ weight
+                for i in range(k):
+                    # A product of matrices adds up all fits' points with this label.
+                    sums[:-1, at + i : at + n * k : k] += values @ (nearest == i).astype(np.float64).T
                 at += n * k
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(total)), *(pa.array(s) for s in sums)], ["i", *(f"s{j}" for j in range(width + 3))]

@@ -92,3 +92,14 @@ def test_few_or_no_points(spark):
     fit = kmeans.fit_all(kmeans.distinct_points(same, COLUMNS), COLUMNS, [2], restarts=2)[2]
     assert sorted(fit.sizes) == [0, 5] and fit.cost == 0
     assert kmeans.fit_all(kmeans.distinct_points(same.limit(0), COLUMNS), COLUMNS, [2], restarts=2) == {}
+
+
+def test_a_pass_adds_up_by_products(spark, monkeypatch):
+    """No point is counted fit by fit; a tie goes to the first centre."""
+    rng = np.random.default_rng(2)
+    own = rng.integers(0, 4, (200, 2)).astype(float)
+    centres = rng.integers(0, 4, (30, 3, 2)).astype(float)
+    nearest, least = kmeans._nearest(own, centres.reshape(-1, 2), 30, 3)
+    square = ((own[None, :, None] - centres[:, None]) ** 2).sum(3)
+    assert (nearest == square.argmin(2)).all()
+    assert least + (own * own).sum(1) == pytest.approx(square.min(2))
