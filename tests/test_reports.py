@@ -125,3 +125,25 @@ def test_served_filters_read_one_partition(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(annee" in plan and found.count() == 20
     spark.sql("drop table partition_test")
+
+
+def test_json_document_sums_the_facts_once_for_its_cells(spark, tmp_path, monkeypatch):
+    """One reading of the order lines for the cells, one for the official totals."""
+    from tallyforge.plans import registry
+    from tallyforge.sources import cells
+
+    lines = "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string, l_linestatus string, l_discount double, l_tax double, l_shipdate date"
+    orders = "o_orderkey long, o_orderstatus string, o_orderdate date, o_orderpriority string"
+    day = __import__("datetime").date
+    made = {
+        "lineitem": ([(i % 4, i % 3, 2.0 + i, "ARN"[i % 3], "FO"[i % 2], 0.01 * i, 0.08, day(1999, 5, 1 + i)) for i in range(9)], lines),
+        "orders": ([(i, "FOP"[i % 3], day(1997 + i, 1, 1), "1-URGENT") for i in range(4)], orders),
+        "part": ([(i, f"type {i}", f"name {i}") for i in range(3)], "p_partkey long, p_type string, p_name string"),
+    }
+    for name, (rows, shape) in made.items():
+        spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/{name}.parquet")
+    read, facts = [], cells.fact_rows
+    monkeypatch.setattr(cells, "fact_rows", lambda *given: read.append(1) or facts(*given))
+    (row,) = registry.s4_json_document(spark, str(tmp_path)).collect()
+    assert len(read) == 2
+    assert row.nombre_lignes == cells.coarse_cells(spark, str(tmp_path)).count() and row.doublons_record_id == 0
