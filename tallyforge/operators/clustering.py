@@ -17,7 +17,7 @@ from tallyforge.operators import kmeans
 from tallyforge.operators.contracts import check_choice
 from tallyforge.operators.kmeans import RAW_LABEL, Centres
 from tallyforge.operators.reshape import one_row
-from tallyforge.runtime import materialize
+from tallyforge.runtime import in_parallel, materialize
 
 CLUSTER = "Cluster"
 AXES = ["PCA_1", "PCA_2"]
@@ -270,10 +270,15 @@ def cluster_table(
     ``df`` should be a stored table, it is read for every fit.
     """
     raw, _ = scaled_vectors(df, features, log=False)
-    raw_rows = evaluate_k(materialize(raw, "raw_vectors"), features, sweep_restarts, seed, metric)
+    raw = materialize(raw, "raw_vectors")
     vectors, scaler = scaled_vectors(df, features, log=True)
     vectors = materialize(vectors, "log_vectors")
-    log_rows = evaluate_k(vectors, features, sweep_restarts, seed, metric)
+
+    def sweep(rows: DataFrame) -> DataFrame:
+        return evaluate_k(rows, features, sweep_restarts, seed, metric)
+
+    # Passes over few points cost little but their start, so both sweeps run side by side.
+    raw_rows, log_rows = in_parallel(df.sparkSession, sweep, [raw, vectors])
     k = choose_k(log_rows)
     best = fit_kmeans(vectors, k, final_restarts, seed, features)
     axes, shares = fit_axes(vectors, features)

@@ -54,10 +54,11 @@ class Centres:
 def distinct_points(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each different point once with its number of rows, stored.
 
-    Passes cost far more than their bytes, so the points are dealt to all shuffle partitions
-    whatever their size.
+    Passes cost far more than their bytes, so the points are dealt to all shuffle partitions,
+    unless they are so few that starting a task takes longer than its share of a pass.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, -(-df.count() // ROWS)))
     points = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(WEIGHT))
     return materialize(points.repartition(parts, *columns), "points")
 
